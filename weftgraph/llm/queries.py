@@ -7,14 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import pii, sharding
-from weftgraph.llm.common import text_or_empty
+from weftgraph.llm import bpe, pii, sharding, token_files, transducer
+from weftgraph.llm.common import scratch_path, text_or_empty
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "tokens")
+    token_files.write_token_files(_documents(spark, sf_dir), tokenizer_path(), out, end_id=2)
+    return token_files.token_digest(spark, out)
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_round_trip(_documents(spark, sf_dir), tokenizer_path())
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.token_counts(_documents(spark, sf_dir), tokenizer_path(), limit=1024)
+
+
 def op8_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", text_or_empty().alias("text"))
     digest = docs.select(
@@ -33,6 +53,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": op1_token_files,
+    "op2_bpe": op2_bpe,
+    "op6_token_counts": op6_token_counts,
     "op8_hypergeometric_sharding": op8_hypergeometric_sharding,
     "op9_pii": op9_pii,
 }
