@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, pii, sharding, token_files, transducer
+from weftgraph.llm import bpe, neardup, pii, sharding, token_files, transducer
 from weftgraph.llm.common import scratch_path, text_or_empty
 
 
@@ -35,6 +35,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.token_counts(_documents(spark, sf_dir), tokenizer_path(), limit=1024)
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_components(_documents(spark, sf_dir), percent=75)
+
+
 def op8_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", text_or_empty().alias("text"))
     digest = docs.select(
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_bpe": op2_bpe,
     "op6_token_counts": op6_token_counts,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_hypergeometric_sharding": op8_hypergeometric_sharding,
     "op9_pii": op9_pii,
 }
