@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, neardup, pii, sharding, token_files, transducer
+from weftgraph.llm import bpe, digest, neardup, pii, sharding, token_files, transducer
 from weftgraph.llm.common import scratch_path, text_or_empty
 
 
@@ -56,6 +56,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans_digest(pii.pii_spans(_documents(spark, sf_dir)))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.document_fingerprints(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_bpe": op2_bpe,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_near_duplicates": op7_near_duplicates,
     "op8_hypergeometric_sharding": op8_hypergeometric_sharding,
     "op9_pii": op9_pii,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLES: dict[str, str] = {}
