@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, digest, langid, neardup, pii, sharding, token_files, transducer
+from weftgraph.llm import bpe, decontam, digest, langid, neardup, pii, sharding, token_files, transducer
 from weftgraph.llm.common import scratch_path, text_or_empty
 
 
@@ -31,6 +31,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(_documents(spark, sf_dir), tokenizer_path())
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.predict_languages(_documents(spark, sf_dir).select("doc_id", "text", "lang"))
     return found.select("doc_id", "held_out", "lang_pred", "score")
@@ -68,6 +72,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_bpe": op2_bpe,
+    "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
     "op6_token_counts": op6_token_counts,
     "op7_near_duplicates": op7_near_duplicates,

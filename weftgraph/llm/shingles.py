@@ -48,14 +48,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], separators: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of all words, number of words of each text, byte starts and ends of the words in the joined texts).
 
-    Words are runs of anything but ASCII white space, A-Z in lower case.
+    Words are runs of bytes that are no separators (a table of 256; ASCII white space unless given), A-Z in lower case.
     """
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     data = _FOLD[raw]
-    blank = _BLANK[data]
+    blank = separators[data]
     edge = np.empty(len(data), bool)
     edge[0] = not blank[0]
     np.not_equal(blank[1:], blank[:-1], out=edge[1:])
