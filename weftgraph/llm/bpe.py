@@ -128,14 +128,17 @@ def bpe_decode(ids: np.ndarray, path: str) -> str:
     return vocabulary(path).decode_bytes(ids).decode("utf-8", "replace")
 
 
-def bpe_round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Encode, then decode; per row the number of ids and SHA-256 digests of the ids and of the decoded text.
 
-    A null text counts as empty; ids joined by commas. Ids and texts never leave the task.
+    A null text counts as empty; ids joined by commas. Ids never leave the task. Columns named in keep stay beside
+    the digests, others are left out.
     """
+    kept = [f"keep_{k}" for k in range(len(keep))]
     schema = T.StructType(
         [
             T.StructField("id", df.schema[id_col].dataType),
+            *(T.StructField(k, df.schema[c].dataType) for k, c in zip(kept, keep)),
             T.StructField("n_tokens", T.LongType()),
             T.StructField("ids_sha256", T.StringType()),
             T.StructField("decoded_sha256", T.StringType()),
@@ -158,9 +161,9 @@ def bpe_round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 of_text.append(hashlib.sha256(said.encode("utf-8")).hexdigest())
             counts.append(n)
         return pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(np.concatenate(counts)), pa.array(of_ids), pa.array(of_text)],
-            ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            [batch.column("id"), *map(batch.column, kept), pa.array(np.concatenate(counts)), pa.array(of_ids), pa.array(of_text)],
+            schema.names,
         )
 
-    out = map_texts(df, {"id": F.col(id_col), "text": F.col(text_col).cast("string")}, schema, run)
-    return out.withColumnRenamed("id", id_col)
+    columns = {"id": F.col(id_col), "text": F.col(text_col).cast("string")} | {k: F.col(c) for k, c in zip(kept, keep)}
+    return map_texts(df, columns, schema, run).withColumnsRenamed({"id": id_col} | dict(zip(kept, keep)))

@@ -188,6 +188,19 @@ def near_duplicate_components(
     return result.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """One document of each near-duplicate group, that of the smallest id, with all columns; rows without id stay.
+
+    Of rows that repeat both id and text one stays.
+    """
+    found = near_duplicate_components(df, id_col, text_col, percent)
+    gone = found.where("not kept").select(id_col).distinct()
+    left = df.join(gone, id_col, "left_anti").select(*df.columns)
+    again = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    once = left.join(again, id_col, "left_anti").select(*df.columns)
+    return once.unionByName(left.join(again, id_col, "left_semi").select(*df.columns).dropDuplicates([id_col, text_col]))
+
+
 def _large_buckets(large: DataFrame, links: DataFrame, reps: DataFrame, rep_docs: DataFrame, percent: int, kept_table) -> DataFrame:
     """links and those that the large buckets add.
 

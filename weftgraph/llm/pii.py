@@ -168,6 +168,32 @@ def pii_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return out.withColumnRenamed("id", id_col)
 
 
+def redact_rows(df: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """df with personal data in its texts replaced by marks; every row and column stays, null texts too.
+
+    length_col, if given, becomes the length of the new text in code points where the text has changed.
+    """
+    at = df.columns.index(text_col)
+    long_at = df.columns.index(length_col) if length_col else None
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            lengths = b.column(long_at).to_pylist() if long_at is not None else []
+            for i, t in enumerate(texts):
+                if t and (found := find_spans(t)):
+                    texts[i] = redact(t, found)
+                    if lengths:
+                        lengths[i] = len(texts[i])
+            columns = list(b.columns)
+            columns[at] = pa.array(texts, b.schema.field(at).type)
+            if lengths:
+                columns[long_at] = pa.array(lengths, b.schema.field(long_at).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def spans_digest(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts of the base kinds, the digest of the base spans and the joined list of all spans."""
     said = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
