@@ -20,7 +20,7 @@ def test_against_brute_force(spark, make_docs):
     items = [say(20), say(30)]
     texts = [say(rng.randint(5, 60)) for _ in range(60)]
     texts += [texts[0], texts[1], texts[2] + " end"] + [f"{say(8)} {it} {say(9)}" for it in items]
-    texts += [f"{say(9)} a.b@c.org {say(4)} +1 (555) 123-4567 {say(3)}", None, "", "12 34", say(20) + " 4111 1111 1111 1111", "é <|endoftext|> x"]
+    texts += [f"{say(9)} a.b@c.org {say(4)} +1 (555) 123-4567 {say(3)}", None, "", "12 34", say(20) + " card: 4111 1111 1111 1111", "é <|endoftext|> x"]
     docs, d = make_docs(texts, langs=["en"] * len(texts))
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
 
