@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, decontam, digest, langid, neardup, pii, sharding, token_files, transducer
+from weftgraph.llm import bpe, decontam, digest, langid, licenses, neardup, pii, sharding, token_files, transducer
 from weftgraph.llm.common import scratch_path, text_or_empty
 
 
@@ -40,6 +40,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(_documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.token_counts(_documents(spark, sf_dir), tokenizer_path(), limit=1024)
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
+    "op5_license_scan": op5_license_scan,
     "op6_token_counts": op6_token_counts,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_hypergeometric_sharding": op8_hypergeometric_sharding,
