@@ -74,6 +74,7 @@ def project_nodes(edges: DataFrame, mapping: Mapping) -> DataFrame:
 
 def adjacency(pairs: DataFrame) -> DataFrame:
     """label -> successors, sorted; labels that only receive have none."""
-    both = pairs.select(F.explode(F.array(F.struct("source_label", "target_label"), F.struct(F.col("target_label"), F.lit(None).cast("string")))).alias("x"))
-    both = both.select(F.col("x.source_label").alias("label"), F.col("x.target_label").alias("to"))
+    step = lambda label, to: F.struct(F.col(label).alias("label"), to.cast("string").alias("to"))
+    ends = F.array(step("source_label", F.col("target_label")), step("target_label", F.lit(None)))
+    both = pairs.select(F.inline(ends))
     return both.groupBy("label").agg(F.array_sort(F.collect_set("to")).alias("successors"))

@@ -1,0 +1 @@
+"""Renderers and writers of reports."""
