@@ -7,9 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-S, T = F.col("source"), F.col("target")
-
-
 @dataclass(frozen=True)
 class Mapping:
     """Labels for an edge's two ends; a null or empty label, or a condition that fails, drops the edge."""
@@ -24,20 +21,27 @@ class Mapping:
         return out.where("source_label <> '' and target_label <> ''")  # nulls fail too
 
 
+def _ends() -> tuple[Column, Column]:
+    return F.col("source"), F.col("target")
+
+
 def identity() -> Mapping:
-    return Mapping(S, T)
+    return Mapping(*_ends())
 
 
 def per_edge() -> Mapping:
-    return Mapping(S, T, S != T)
+    s, t = _ends()
+    return Mapping(s, t, s != t)
 
 
 def per_internal_edge() -> Mapping:
-    return Mapping(S, T, ~F.col("external") & (S != T))
+    s, t = _ends()
+    return Mapping(s, t, ~F.col("external") & (s != t))
 
 
 def per_external_edge() -> Mapping:
-    return Mapping(S, T, F.col("external") & (S != T))
+    s, t = _ends()
+    return Mapping(s, t, F.col("external") & (s != t))
 
 
 def project_all(edges: DataFrame, mapping: Mapping, cumulate: bool = False) -> DataFrame:

@@ -18,7 +18,9 @@ from weftgraph.operators.projection import per_internal_edge, project_edges
 from weftgraph.options import CheckOptions, Population, guard, logged
 from weftgraph.plans.base import Stage, options_or_default
 
-NODE = F.col("node")
+
+def _node() -> Column:
+    return F.col("node")
 
 
 @dataclass(frozen=True)
@@ -60,7 +62,7 @@ class Files(Stage):
     def select_files(self, options: CheckOptions | None = None) -> DataFrame:
         """node: the files in scope."""
         edges = self._edges(options_or_default(options))
-        return graph.own_nodes(edges).where(self.scope.column(NODE))
+        return graph.own_nodes(edges).where(self.scope.column(_node()))
 
     def should(self) -> FilesShould:
         return FilesShould(self, SHOULD)
@@ -136,7 +138,7 @@ class _Rule:
         return graph.own_nodes(edges)
 
     def _subjects(self, own: DataFrame) -> Population:
-        return Population("files", ", ".join(map(str, self.files.scope.filters)), own, self.files.scope.column(NODE))
+        return Population("files", ", ".join(map(str, self.files.scope.filters)), own, self.files.scope.column(_node()))
 
     def _judge(self, options: CheckOptions) -> DataFrame:
         raise NotImplementedError
@@ -151,8 +153,8 @@ class NamingRule(_Rule):
         own = self._own(self.files._edges(options))
         if (empty := guard([self._subjects(own)], options)) is not None:
             return empty
-        broken = own.where(self.files.scope.column(NODE)).where(~self.mood.holds(self.required.column(NODE)))
-        return report.violations(broken, report.FILE_NAMING, subject=NODE, mood=str(self.mood), requirement=str(self.required))
+        broken = own.where(self.files.scope.column(_node())).where(~self.mood.holds(self.required.column(_node())))
+        return report.violations(broken, report.FILE_NAMING, subject=_node(), mood=str(self.mood), requirement=str(self.required))
 
     def __str__(self) -> str:
         return f"{self.files}, {self.mood}, {self.required}"
@@ -165,7 +167,7 @@ def _judge_dependencies(own: DataFrame, subject: Column, hits: DataFrame, mood:
         found = hits.groupBy("source").agg(F.array_sort(F.collect_set("target")).alias("t"))
         return report.violations(found, kind, subject=F.col("source"), members=F.col("t"), **said)
     missing = own.where(subject).join(hits.select(F.col("source").alias("node")), "node", "left_anti")
-    return report.violations(missing, kind, subject=NODE, members=F.array().cast("array<string>"), **said)
+    return report.violations(missing, kind, subject=_node(), members=F.array().cast("array<string>"), **said)
 
 
 @dataclass(frozen=True)
@@ -206,7 +208,7 @@ class DependencyRule(_Rule):
         own = self._own(edges)
         populations = [self._subjects(own)]
         if self.objects:  # an object of all files is never empty by mistake
-            populations.append(Population("files to depend on", ", ".join(map(str, self.objects.filters)), own, self.objects.column(NODE)))
+            populations.append(Population("files to depend on", ", ".join(map(str, self.objects.filters)), own, self.objects.column(_node())))
         if (empty := guard(populations, options)) is not None:
             return empty
         # Both sets come from filters on identifiers, so they are conditions on the scan and not joins. A target that is
@@ -214,7 +216,7 @@ class DependencyRule(_Rule):
         subject, target = self.files.scope.column(F.col("source")), self.objects.column(F.col("target"))
         hits = edges.where(~F.col("external") & (F.col("source") != F.col("target"))).where(subject & target)
         requirement = ", ".join(map(str, self.objects.filters))
-        return _judge_dependencies(own, self.files.scope.column(NODE), hits, self.mood, report.FILE_DEPENDENCY, requirement)
+        return _judge_dependencies(own, self.files.scope.column(_node()), hits, self.mood, report.FILE_DEPENDENCY, requirement)
 
     def __str__(self) -> str:
         return ", ".join([str(self.files), str(self.mood), "depend on files", *map(str, self.objects.filters)])
@@ -245,7 +247,7 @@ class ExternalRule(_Rule):
             return empty
         hits = edges.where(F.col("external") & (F.col("source") != F.col("target")))
         hits = hits.where(self.files.scope.column(F.col("source")) & self.modules.column(F.col("target")))
-        return _judge_dependencies(own, self.files.scope.column(NODE), hits, self.mood, report.FILE_EXTERNAL, str(self.modules))
+        return _judge_dependencies(own, self.files.scope.column(_node()), hits, self.mood, report.FILE_EXTERNAL, str(self.modules))
 
     def __str__(self) -> str:
         said = [str(self.files), str(self.mood), "depend on external modules"]
@@ -294,7 +296,7 @@ class AdherenceRule(_Rule):
         if self.texts is None:
             raise UserError("adhere to: the texts of the files are needed")
         # Texts are read now, and only of the files in scope.
-        chosen = self.texts.where(self.files.scope.column(F.col("path"))).join(own.where(self.files.scope.column(NODE)), F.col("path") == NODE, "left_semi")
+        chosen = self.texts.where(self.files.scope.column(F.col("path"))).join(own.where(self.files.scope.column(_node())), F.col("path") == _node(), "left_semi")
         if getattr(self.predicate, "__weft_row__", False):
             ok = F.udf(self.predicate, T.BooleanType(), useArrow=True)(F.struct(*chosen.columns))
         else:

@@ -143,7 +143,9 @@ def _bad(text: str):
     raise UserError(text)
 
 
-_DEPENDENCIES = F.transform("cumulated", lambda x: F.struct(x["source"].alias("source"), x["target"].alias("target")))
+def _behind() -> Column:
+    """The raw edges behind a pair."""
+    return F.transform("cumulated", lambda x: F.struct(x["source"].alias("source"), x["target"].alias("target")))
 
 
 @dataclass(frozen=True)
@@ -171,7 +173,7 @@ class SliceDependencyRule:
         found = project_edges(edges, replace(mapping, where=mapping.where & pair), cumulate=True)
         # one row whether the pair is there or not
         one = edges.sparkSession.range(1).join(found, F.lit(True), "left").where(~self.mood.holds(F.col("source_label").isNotNull()))
-        return report.violations(one, report.SLICE_DEPENDENCY, subject=self.source, object=self.target, mood=str(self.mood), dependencies=_DEPENDENCIES)
+        return report.violations(one, report.SLICE_DEPENDENCY, subject=self.source, object=self.target, mood=str(self.mood), dependencies=_behind())
 
     def __str__(self) -> str:
         return f'{self.slices}, {self.mood}, contain dependency "{self.source}" -> "{self.target}"' if not self.slices.error else str(self.slices)
@@ -211,7 +213,7 @@ class DiagramRule:
         undrawn = pairs.join(ends[0], "source_label", "left_semi").join(ends[1], "target_label", "left_semi")
         undrawn = undrawn.join(drawn, ["source_label", "target_label"], "left_anti")
         found = report.violations(
-            undrawn, report.SLICE_DIAGRAM, subject=F.col("source_label"), object=F.col("target_label"), mood="should", finding=report.UNDRAWN, dependencies=_DEPENDENCIES
+            undrawn, report.SLICE_DIAGRAM, subject=F.col("source_label"), object=F.col("target_label"), mood="should", finding=report.UNDRAWN, dependencies=_behind()
         )
         present = members.select("slice").distinct()
         extra = present.join(declared, F.col("slice") == F.col("name"), "left_anti")
