@@ -46,6 +46,18 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Rows in an Arrow batch of texts. Spark's default of ten thousand holds some hundred MB for each task where texts are long.
+BATCH_ROWS = 512
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of at most BATCH_ROWS rows for this session, unless it asks for smaller ones."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "0"))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def text_or_empty(col: str = "text") -> F.Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
@@ -60,6 +72,7 @@ def map_texts(
             if b.num_rows:
                 yield fn(b)
 
+    bound_batches(df.sparkSession)
     return df.select(*[c.alias(n) for n, c in columns.items()]).mapInArrow(run, schema)
 
 

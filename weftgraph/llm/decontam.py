@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from weftgraph.llm.common import blocks_of
+from weftgraph.llm.common import blocks_of, bound_batches
 from weftgraph.llm.shingles import BLOCK_BYTES, mixed, word_hashes
 
 #: 1 = the word counts. Weight 6 each, spans 9 to 11, chosen to overlap little under shifts.
@@ -189,6 +189,7 @@ def contamination(
         ]
     )
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kinds = {f.name: to_arrow_type(f.dataType) for f in schema.fields[1:]}
     out = None
@@ -220,6 +221,7 @@ def decontaminate(
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """The rows of docs whose text no item contaminates, with all their columns. Null texts stay."""
+    bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     for matcher in _matchers(benchmark, item_id, item_text, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(matcher)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import blocks_of
+from weftgraph.llm.common import blocks_of, bound_batches
 
 WINDOW = 32
 LOG_WINDOW = 5
@@ -187,6 +187,7 @@ def with_next(df: DataFrame, id_col: str, text_col: str, fn, schema: T.StructTyp
     range before it; which rows these are is found on ids alone and is one row for each range.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     bounds = docs.where("id is not null").stat.approxQuantile("id", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import blocks_of
+from weftgraph.llm.common import blocks_of, bound_batches
 from weftgraph.llm.pretokens import LETTER, class_table
 
 # Families of common language codes. A code that is not listed is a family of its own.
@@ -219,6 +219,7 @@ def predict_languages(
             columns = [*b.columns, pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, out_names)
 
+    bound_batches(df.sparkSession)
     names = df.columns
     out_names = [*names, "lang_pred", "score"]
     schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.llm import shingles as S
-from weftgraph.llm.common import remove_path, written
+from weftgraph.llm.common import bound_batches, remove_path, written
 from weftgraph.llm.components import connected_components
 
 SMALL_BUCKET = 48
@@ -145,6 +145,7 @@ def near_duplicate_components(
     Other columns are left out.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     paths: list[str] = []
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import map_texts
+from weftgraph.llm.common import bound_batches, map_texts
 
 #: Kinds in the order that breaks ties between spans that begin together; base kinds first.
 KINDS = ("email", "ip", "card", "phone", "iban")
@@ -173,6 +173,7 @@ def redact_rows(df: DataFrame, text_col: str = "text", length_col: str | None =
 
     length_col, if given, becomes the length of the new text in code points where the text has changed.
     """
+    bound_batches(df.sparkSession)
     at = df.columns.index(text_col)
     long_at = df.columns.index(length_col) if length_col else None
 

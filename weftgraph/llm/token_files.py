@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.llm.bpe import byte_alphabet
+from weftgraph.llm.common import bound_batches
 from weftgraph.llm.pretokens import BatchEncoder
 
 ROW_GROUP_BYTES = 32 << 20
@@ -95,6 +96,7 @@ def write_token_files(
                 )
                 before += int(offsets[-1])
 
+    bound_batches(df.sparkSession)
     (
         df.select(F.col(id_col), F.col(text_col).cast("string").alias("__weft_text"))
         .repartitionByRange(id_col)
