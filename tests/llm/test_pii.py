@@ -58,6 +58,15 @@ def test_iban_context_and_redaction():
     assert "a@b.co" not in pii.redact(t, found)
 
 
+def test_numbers_inside_longer_runs():
+    t = "room 123 4111 1111 1111 1111 call +1 (555) 123-4567 4041894974608795 99"
+    found = {x.kind: t[x.start : x.end] for x in pii.find_spans(t)}
+    assert found == {"card_part": "4041894974608795", "phone_part": "+1 (555) 123-4567"} | found
+    assert "4111 1111 1111 1111" in [t[x.start : x.end] for x in pii.find_spans(t) if x.kind == "card_part"]
+    assert pii.redact(t, pii.find_spans(t)) == "room 123 <CARD_PART> call <PHONE_PART> <CARD_PART> 99"
+    pii.find_spans("1 " * 100_000)
+
+
 def test_query(spark, make_docs):
     texts = [None, "", "mail a@b.com now", "x " * 50_000 + "1.2.3.4", "mail a@b.com now", "4111111111111111 +1 (555) 123-4567"]
     _, d = make_docs(texts, extra={"spans": "string", "redacted": "int"})

@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from weftgraph.llm.common import bound_batches, map_texts
 
 #: Kinds in the order that breaks ties between spans that begin together; base kinds first.
-KINDS = ("email", "ip", "card", "phone", "iban")
+#: A card_part or phone_part is a valid number inside a longer run of digits that is none itself.
+KINDS = ("email", "ip", "card", "phone", "iban", "card_part", "phone_part")
 BASE = KINDS[:4]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -25,8 +26,11 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 
+_GROUP = re.compile(r"[0-9]+")
+_PHONE_PART = re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])")
+
 #: Prior score of a proposed span whose validator agrees, and the words whose nearness raises it.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.5, "iban": 0.7}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.5, "iban": 0.7, "card_part": 0.6, "phone_part": 0.5}
 CONTEXT = {
     "email": ("email", "mail", "contact", "correo", "courriel"),
     "ip": ("ip", "address", "host", "server", "adresse"),
@@ -34,6 +38,7 @@ CONTEXT = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "telefono"),
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
 }
+CONTEXT |= {f"{k}_part": CONTEXT[k] for k in ("card", "phone")}
 CONTEXT_BONUS = 0.2
 CONTEXT_CHARS = 40
 _WORD = re.compile(r"[^\W\d_]+")
@@ -88,6 +93,25 @@ def _digits(s: str) -> str:
     return "".join(filter("0123456789".__contains__, s))
 
 
+#: Digit groups that a card number is written in at most.
+_CARD_GROUPS = 5
+
+
+def _card_parts(text: str, start: int, end: int):
+    """Whole groups of digits, from left to right the longest that make a card number."""
+    groups = [m.span() for m in _GROUP.finditer(text, start, end)]
+    i = 0
+    while i < len(groups):
+        for j in range(min(len(groups), i + _CARD_GROUPS), i, -1):
+            said = text[groups[i][0] : groups[j - 1][1]]
+            if len(said) <= 30 and 12 <= len(d := _digits(said)) <= 19 and luhn(d):
+                yield groups[i][0], groups[j - 1][1]
+                i = j
+                break
+        else:
+            i += 1
+
+
 def propose(text: str):
     """(kind, start, end) of what the expressions find and the validators confirm."""
     for s, e in _emails(text):
@@ -99,12 +123,19 @@ def propose(text: str):
             if all(map(_octet, m.group().split("."))):
                 yield "ip", *m.span()
     for m in _CARD.finditer(text):
-        if m.end() - m.start() >= 12 and 12 <= len(d := _digits(m.group())) <= 19 and luhn(d):
+        if m.end() - m.start() < 12:
+            continue
+        if 12 <= len(d := _digits(m.group())) <= 19 and luhn(d):
             yield "card", *m.span()
+        else:
+            for span in _card_parts(text, *m.span()):
+                yield "card_part", *span
     if "+" in text:
         for m in _PHONE.finditer(text):
             if 9 <= len(_digits(m.group())) <= 15:
                 yield "phone", *m.span()
+            elif (part := _PHONE_PART.match(text, m.start(), m.end())) and 9 <= len(_digits(part.group())) <= 15:
+                yield "phone_part", *part.span()
     for m in _IBAN.finditer(text):
         bare = m.group().replace(" ", "")
         if 15 <= len(bare) <= 34 and mod97(bare):
