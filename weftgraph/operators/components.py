@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftgraph.storage import Scratch
+from weftgraph.storage import Scratch, ship_package
 
 DEFAULT_CIRCUITS = 1000
 #: Edges up to which components are found by one task in memory; this many rows are some megabytes.
@@ -65,6 +65,7 @@ def strong_components(pairs: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
     else by rounds: every open label takes the least label that reaches it (forward), and from each label that kept its own
     name the labels that reach it back with that name are its component. Rounds are written to the shared folder.
     """
+    ship_package(pairs.sparkSession)
     scratch = Scratch(pairs.sparkSession)
     e = scratch.write(pairs.select(F.col("source_label").alias("a"), F.col("target_label").alias("b")).where("a <> b").distinct())
     n = e.count()

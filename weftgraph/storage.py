@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +20,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Lets executors import this package, once for each context: it is sent to them as a zip by the driver.
+
+    Nothing is sent if the package comes from an archive itself, which was shipped then already.
+    """
+    sc = spark.sparkContext
+    here = os.path.dirname(os.path.abspath(__file__))
+    if getattr(sc, "_weftgraph_shipped", False) or not os.path.isdir(here):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="weftgraph-code-"), "weftgraph.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for at, folders, names in os.walk(here):
+            folders[:] = [d for d in folders if d != "__pycache__"]
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(at, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(here)))
+    sc.addPyFile(archive)
+    sc._weftgraph_shipped = True
+
+
 class Scratch:
     """Tables of one computation; drop() removes those that are no longer read."""
 
