@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftgraph.storage import ship_package
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
@@ -51,7 +53,8 @@ BATCH_ROWS = 512
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Batches of at most BATCH_ROWS rows for this session, unless it asks for smaller ones."""
+    """Batches of at most BATCH_ROWS rows for this session, unless it asks for smaller ones; and executors that can import this."""
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "0"))
     if not 0 < now <= BATCH_ROWS:
