@@ -86,3 +86,12 @@ def test_repeats_null_ids_and_empty(spark, make_docs):
     assert op10(spark, d).count() == 0
     _, d = make_docs(["abcd"])
     assert op10(spark, d).first().edited_sha256 == hashlib.sha256(b"abab").hexdigest()
+
+
+def test_bounds(spark):
+    for n in (1, 2, 3, 10, 57):
+        bounds = [3 * i for i in range(n)]
+        ids = [*range(-2, 3 * n + 3), None]
+        df = spark.createDataFrame([(i,) for i in ids], "id long")
+        got = {r[0]: r[1] for r in df.select("id", D._bounds_up_to(df["id"], bounds)).collect()}
+        assert got == {i: None if i is None else sum(b <= i for b in bounds) for i in ids}

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -180,7 +181,16 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(np.average(score, weights=a[1]))
 
 
-def with_next(df: DataFrame, id_col: str, text_col: str, fn, schema: T.StructType, sort_rows: int = 4096) -> DataFrame:
+def _bounds_up_to(value: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are at most value, in two steps of about the square root of their number each."""
+    step = max(1, math.isqrt(len(bounds)))
+    listed = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    count = lambda xs: F.size(F.filter(xs, lambda x: x <= value))
+    whole = count(listed(bounds[step - 1 :: step])) * step
+    return F.when(value.isNotNull(), whole + count(F.slice(listed(bounds), whole + 1, F.lit(step))))
+
+
+def with_next(df: DataFrame, id_col: str, text_col: str, fn, schema: T.StructType) -> DataFrame:
     """Run fn(ids, texts, next_texts) over rows in ascending id order, next_texts being the following row's; the last is followed by the first.
 
     Rows are dealt into ranges of ids (one shuffle of the texts). The first row of each range also travels to the
@@ -194,8 +204,7 @@ def with_next(df: DataFrame, id_col: str, text_col: str, fn, schema: T.StructTyp
     bounds = sorted({int(x) for x in bounds})
     part = F.lit(0)
     if bounds:
-        # how many bounds are at most the id: a null id stands first
-        part = F.coalesce(F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in bounds]), lambda x: x <= F.col("id"))), F.lit(0))
+        part = F.coalesce(_bounds_up_to(F.col("id"), bounds), F.lit(0))  # a null id stands first
     docs = docs.withColumn("part", part)
     order = F.struct(F.col("id").isNotNull().alias("some"), "id", F.xxhash64("text").alias("tie"))
     firsts = sorted((r["part"], tuple(r["first"])) for r in docs.groupBy("part").agg(F.min(order).alias("first")).collect())
