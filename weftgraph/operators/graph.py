@@ -10,6 +10,10 @@ from weftgraph.functions.identifiers import normalize, normalized
 from weftgraph.storage import ship_package
 
 SCHEMA = "source string, target string, external boolean, import_kinds int"
+COLUMNS = ("source", "target", "external", "import_kinds")
+#: A table may carry this boolean column, true on self-edges. Where its parts know it as a constant, looking for nodes
+#: leaves the other parts unread.
+DECLARES = "declares"
 
 
 def create_edges(spark: SparkSession, rows) -> DataFrame:
@@ -45,7 +49,7 @@ def canonical(edges: DataFrame, normalize_ids: bool = True) -> DataFrame:
 
 
 def add(edges: DataFrame, more: DataFrame) -> DataFrame:
-    return canonical(edges.unionByName(more))
+    return canonical(edges.select(*COLUMNS).unionByName(more.select(*COLUMNS)))
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -54,7 +58,7 @@ def nodes(edges: DataFrame) -> DataFrame:
 
 
 def self_edges(edges: DataFrame) -> DataFrame:
-    return edges.where("source = target")
+    return edges.where(F.col(DECLARES) if DECLARES in edges.columns else F.col("source") == F.col("target"))
 
 
 def own_nodes(edges: DataFrame) -> DataFrame:
@@ -69,4 +73,4 @@ def dependencies(edges: DataFrame) -> DataFrame:
 def find(edges: DataFrame, source: str, target: str) -> DataFrame:
     """The edge between two identifiers, a row or none. The target is looked for as written too, for external ends."""
     hit = (F.col("source") == normalize(source)) & F.col("target").isin(normalize(target), target.strip())
-    return edges.where(hit).limit(1)
+    return edges.where(hit).select(*COLUMNS).limit(1)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.operators.graph import DECLARES
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -69,7 +71,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     own = cust.select("path").union(supp.select("path"))
     own = own.select(edge(F.col("path"), F.col("path"), False, F.lit(0)).alias("e")).select("e.*")
-    return inner.unionByName(outer).unionByName(own)
+    marked = lambda df, declares: df.withColumn(DECLARES, F.lit(declares))
+    return marked(inner, False).unionByName(marked(outer, False)).unionByName(marked(own, True))
 
 
 def file_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
