@@ -213,13 +213,13 @@ def project_circuits(pairs: DataFrame, max_circuits: int = 0) -> Circuits:
 
     def enumerate_(key, group: pd.DataFrame) -> pd.DataFrame:
         found = elementary_circuits(list(zip(group["source_label"], group["target_label"])), None if limit is None else limit + 1)
-        members = sorted(set(group["source_label"]))
-        rows = [(members, i, c) for i, c in enumerate(found)]
-        return pd.DataFrame(rows, columns=["members", "at", "labels"])
+        rows = [(key[0], i, c) for i, c in enumerate(found)]
+        return pd.DataFrame(rows, columns=["scc", "at", "labels"])
 
     # A written table: the enumeration runs once for the list and the flag.
-    every = Scratch(pairs.sparkSession).write(inner.groupBy("scc").applyInPandas(enumerate_, "members array<string>, at int, labels array<string>"))
-    ranked = every.withColumn("k", F.row_number().over(W.orderBy("members", "at")))  # at most limit + 1 rows for each component
+    every = Scratch(pairs.sparkSession).write(inner.groupBy("scc").applyInPandas(enumerate_, "scc string, at int, labels array<string>"))
+    # Components have no label in common, so their least labels order them as their members do, and are no list in each row.
+    ranked = every.withColumn("k", F.row_number().over(W.orderBy("scc", "at")))  # at most limit + 1 rows for each component
     kept = every if limit is None else ranked.where(F.col("k") <= limit)
     listed = kept.select(F.size("labels").alias("length"), "labels")
     listed = listed.select(F.row_number().over(W.orderBy("length", "labels")).alias("circuit_id"), "length", "labels")

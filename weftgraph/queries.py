@@ -697,7 +697,8 @@ def circuits_nations(spark, sf_dir):
 
 @query("no_cycles_files")
 def no_cycles_files(spark, sf_dir):
-    rule = project_files(testdata.edges(spark, sf_dir)).in_path("*/*/*/*_[1-9].go").should().have_no_cycles()
+    """The first thousand circuits of the whole file graph."""
+    rule = project_files(testdata.edges(spark, sf_dir)).should().have_no_cycles()
     return rule.check().select("kind", "subject", _joined("members").alias("members"))
 
 
