@@ -58,3 +58,17 @@ def test_empty_table_and_null_ids(spark, make_docs):
     assert [(r.doc_id, r.template, r.n_windows) for r in op5(spark, d).collect()] == [(None, "mit-notice", 1)]
     docs, _ = make_docs(["x"])
     assert L.license_matches(docs, templates=()).count() == 0
+
+
+def test_notices_of_fewer_words_than_a_shingle(spark, make_docs):
+    long = " ".join(f"w{i}" for i in range(400))
+    texts = [
+        "All rights reserved.", "(c) 2024 Ada. ALL RIGHTS\nRESERVED!", f"{long} All rights reserved. {long}", "all rights", "reserved all rights",
+        "all their rights reserved", "rights reserved", f"{long} reserved", None, "", "Released under the MIT License. All rights reserved.",
+    ]
+    _, d = make_docs(texts)
+    got = {(r.doc_id, r.template) for r in op5(spark, d).collect()}
+    assert got == {(i, "rights-reserved") for i in (0, 1, 2, 10)} | {(10, "mit-notice")}
+    docs, _ = make_docs(["x y z", "say no derivatives now", f"{long} one two three four {long}", "one two three"])
+    own = (("a", "A", "no derivatives"), ("b", "B", "one two three four"), ("c", "C", "x"), ("d", "D", ", ."))
+    assert {(r.doc_id, r.template, r.containment) for r in L.license_matches(docs, own).collect()} == {(0, "c", 1.0), (1, "a", 1.0), (2, "b", 1.0)}

@@ -1,6 +1,6 @@
 """License scan with DataFrame functions alone: MinHash bands over text windows retrieve templates, shingle containment verifies.
 
-A template of n five-word shingles is looked for in windows of n + s shingles that begin every s = max(1, n // 4)
+A template of n five-word shingles (of one shingle of all its words, if it has fewer) is looked for in windows of n + s shingles that begin every s = max(1, n // 4)
 shingles, so some window holds any occurrence whole. A window with 3/4 of the template's shingles has a Jaccard
 similarity of at least 0.75 n / (1.25 n + s) >= 0.4 with it (0.5 for n of four and more), so a band of ROWS = 2 values
 agrees with a chance of 0.16 at least and one of BANDS = 48 with a chance over 0.9997. Only windows that can match are
@@ -60,6 +60,9 @@ TEMPLATES = (
     ),
 )
 
+#: Notices of fewer words than a shingle has; their shingles, and those of the windows for them, have as many words as they.
+SHORT_TEMPLATES = (("rights-reserved", "LicenseRef-All-Rights-Reserved", "All rights reserved."),)
+
 
 def words_of(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.lower())
@@ -77,14 +80,19 @@ def key_words(words: list[str], containment: float = CONTAINMENT) -> set[str]:
     return chosen
 
 
-def _shingles(words: Column) -> Column:
-    """Hash of the shingle at each word; of the whole sequence if it is shorter than a shingle."""
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (WORDS - 1)))
+def _shingles(words: Column, width: int = WORDS) -> Column:
+    """Hash of the shingle of width words at each word; of the whole sequence if it is shorter than a shingle."""
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (width - 1)))
     return F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(
-        F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(WORDS)), " ")))
+        F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(width)), " ")))
     )
 
 
+def _of_width(widths: list[int], fn) -> Column:
+    """fn of the row's width, which is one of widths."""
+    return F.coalesce(*[F.when(F.col("width") == w, fn(w)) for w in widths])
+
+
 def _split(text: Column) -> Column:
     """Words are runs of ASCII letters and digits, in lower case."""
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
@@ -103,55 +111,59 @@ def _bands(shingles: Column) -> Column:
 
 def license_matches(
     df: DataFrame,
-    templates: tuple[tuple[str, str, str], ...] = TEMPLATES,
+    templates: tuple[tuple[str, str, str], ...] = TEMPLATES + SHORT_TEMPLATES,
     containment: float = CONTAINMENT,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """A row for each document and template it contains: id, template, spdx, containment (best window's), start_word (its first), n_windows.
 
-    Containment is the share of the template's distinct shingles that stand in one window. Null, empty and other texts
+    Containment is the share of the template's distinct shingles that stand in one window. A template of fewer than
+    WORDS words is one shingle of all its words, so it is found unchanged or not at all. Null, empty and other texts
     without a match have no rows; repeated rows with the same id count as one document. Templates of no words are left
     out; they are few and sent to every task. Other columns are left out.
     """
     spark = df.sparkSession
     known = [(name, spdx, w) for name, spdx, text in templates if (w := words_of(text))]
-    sizes = {name: max(1, len(w) - WORDS + 1) for name, _, w in known}
-    keys = {n: sorted(set().union(*(key_words(w, containment) for m, _, w in known if sizes[m] == n))) for n in sorted(set(sizes.values()))}
+    sizes = {name: (min(WORDS, len(w)), max(1, len(w) - WORDS + 1)) for name, _, w in known}  # (width, n)
+    keys = {s: sorted(set().union(*(key_words(w, containment) for m, _, w in known if sizes[m] == s))) for s in sorted(set(sizes.values()))}
+    widths = sorted({width for width, _ in keys})
     if not known:
         return df.select(id_col).where("false").selectExpr(
             id_col, "'' template", "'' spdx", "0D containment", "0 start_word", "0L n_windows"
         )
     rows = ",".join(
-        "named_struct('template', '{}', 'spdx', '{}', 'n', {}, 'words', array({}))".format(name, spdx, sizes[name], ",".join(f"'{x}'" for x in w))
+        "named_struct('template', '{}', 'spdx', '{}', 'width', {}, 'n', {}, 'words', array({}))".format(name, spdx, *sizes[name], ",".join(f"'{x}'" for x in w))
         for name, spdx, w in known
     )
     table = spark.range(1).select(F.inline(F.expr(f"array({rows})")))
-    table = table.select("template", "spdx", "n", F.array_distinct(_shingles(F.col("words"))).alias("known"))
-    table = table.select("*", F.explode(_bands(F.col("known"))).alias("b")).select("template", "spdx", "n", "known", "b.band", "b.key")
+    table = table.select("template", "spdx", "width", "n", F.array_distinct(_of_width(widths, lambda w: _shingles(F.col("words"), w))).alias("known"))
+    table = table.select("*", F.explode(_bands(F.col("known"))).alias("b")).select("template", "spdx", "width", "n", "known", "b.band", "b.key")
 
     every = sorted(set().union(*keys.values()))
     able = df.where(F.lower(text_col).rlike("(?<![a-z0-9])(?:" + "|".join(every) + ")(?![a-z0-9])"))
     docs = able.select(F.col(id_col).alias("id"), _split(F.col(text_col)).alias("words"))
-    docs = docs.select("id", "words", _shingles(F.col("words")).alias("shingles"))
+    docs = docs.select("id", "words", *[_shingles(F.col("words"), w).alias(f"shingles_{w}") for w in widths])
 
-    def starts(n: int) -> Column:
-        """First shingles (from 0) of the windows for n shingles that hold a key word."""
+    def starts(width: int, n: int) -> Column:
+        """First shingles (from 0) of the windows for n shingles of width words that hold a key word."""
         step = max(1, n // 4)
-        reach = n + step + WORDS - 1  # words in a window
-        spot = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(F.array(*map(F.lit, keys[n])), F.get("words", i)))
+        reach = n + step + width - 1  # words in a window
+        spot = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(F.array(*map(F.lit, keys[width, n])), F.get("words", i)))
         near = lambda i: F.sequence(
             F.greatest(F.lit(0), F.ceil((i - reach + 1) / step).cast("int")), F.floor(i / step).cast("int")
         )
-        last = F.floor((F.size("shingles") - 1) / step).cast("int")
+        last = F.floor((F.size(f"shingles_{width}") - 1) / step).cast("int")
         begun = F.array_distinct(F.flatten(F.transform(spot, near)))
-        return F.transform(F.filter(begun, lambda k: k <= last), lambda k: F.struct(F.lit(n).alias("n"), (k * step).alias("start"), F.lit(n + step).alias("len")))
+        window = lambda k: F.struct(F.lit(width).alias("width"), F.lit(n).alias("n"), (k * step).alias("start"), F.lit(n + step).alias("len"))
+        return F.transform(F.filter(begun, lambda k: k <= last), window)
 
-    windows = docs.select("id", "shingles", F.explode(F.concat(*[starts(n) for n in keys])).alias("w"))
-    windows = windows.select("id", "w.n", "w.start", F.slice("shingles", F.col("w.start") + 1, F.col("w.len")).alias("window"))
+    windows = docs.select("*", F.explode(F.concat(*[starts(*s) for s in keys])).alias("w")).select("*", "w.*")
+    cut = _of_width(widths, lambda w: F.slice(f"shingles_{w}", F.col("start") + 1, F.col("len")))
+    windows = windows.select("id", "width", "n", "start", cut.alias("window"))
     banded = windows.select("*", F.explode(_bands(F.col("window"))).alias("b"))
-    banded = banded.select("id", "n", "start", "window", F.col("b.band").alias("band"), F.col("b.key").alias("key"))
-    met = banded.join(F.broadcast(table), ["n", "band", "key"])  # BANDS rows for each template
+    banded = banded.select("id", "width", "n", "start", "window", F.col("b.band").alias("band"), F.col("b.key").alias("key"))
+    met = banded.join(F.broadcast(table), ["width", "n", "band", "key"])  # BANDS rows for each template
     share = F.size(F.array_intersect("window", "known")) / F.size("known")
     sure = met.withColumn("containment", share).where(F.col("containment") >= containment)
     one = sure.groupBy("id", "template", "spdx", "start").agg(F.max("containment").alias("containment"))
