@@ -80,3 +80,16 @@ def test_query(spark, make_docs):
         assert set(spans) <= set(got[i].spans.split(",")) or not spans
     _, d = make_docs([])
     assert op9(spark, d).count() == 0
+
+
+def test_iban_before_words_in_capitals_or_digits():
+    es, at, be = "ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "BE68 5390 0754 7034"
+    ibans = lambda t: [t[x.start : x.end] for x in pii.find_spans(t) if x.kind == "iban"]
+    for iban in (es, at, be, es.replace(" ", ""), at.replace(" ", ""), "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"):
+        for rest in ("", ".", " BIC CAIXESBB", " 12 marzo", " BANK AUSTRIA", " BANK 1234 ABCD", " X"):
+            assert ibans(f"to {iban}{rest}") == [iban], (iban, rest)
+    assert ibans(f"{es} {at} {be}") == [es, at, be]
+    assert ibans(f"AB12 {es} BANK") == [es]
+    assert ibans("ES92 2100 0418 4502 0005 1332 BANK") == [] and ibans(es[:-1] + " BANK") == []
+    assert pii.redact(f"{es} BANK", pii.find_spans(f"{es} BANK")).endswith("> BANK")
+    pii.find_spans("AB12 " * 40_000)

@@ -25,6 +25,17 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+# Characters of an IBAN by country.
+_IBAN_LENGTHS = {
+    country: n
+    for n, countries in (
+        (15, "NO"), (16, "BE"), (18, "DK FI FO GL NL"), (19, "MK SI"), (20, "AT BA EE KZ LT LU XK"), (21, "CH HR LI LV"),
+        (22, "BG BH CR DE GB GE IE ME RS VA"), (23, "AE GI IL IQ TL"), (24, "AD CZ ES MD PK RO SA SE SK TN VG"), (25, "PT ST"),
+        (26, "IS TR"), (27, "FR GR IT MC MR SM"), (28, "AL AZ BY CY DO GT HU LB PL SV"), (29, "BR PS QA UA"), (30, "JO KW MU"),
+        (31, "MT SC"), (32, "LC"),
+    )
+    for country in countries.split()
+}
 
 _GROUP = re.compile(r"[0-9]+")
 _PHONE_PART = re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])")
@@ -112,6 +123,22 @@ def _card_parts(text: str, start: int, end: int):
             i += 1
 
 
+def _ibans(text: str):
+    """Of each run of groups the part from its beginning, in whole words, that is an IBAN: of several the one of its country's length, else the longest."""
+    m = _IBAN.search(text)
+    while m:
+        start, end = m.span()
+        usual, found = _IBAN_LENGTHS.get(text[start : start + 2]), 0
+        while end > start:
+            bare = text[start:end].replace(" ", "")
+            if 15 <= len(bare) <= 34 and (not found or len(bare) == usual) and mod97(bare):
+                found = end
+            end = text.rfind(" ", start, end)  # below start if there is no shorter part
+        if found:
+            yield start, found
+        m = _IBAN.search(text, found or start + 1)
+
+
 def propose(text: str):
     """(kind, start, end) of what the expressions find and the validators confirm."""
     for s, e in _emails(text):
@@ -136,10 +163,8 @@ def propose(text: str):
                 yield "phone", *m.span()
             elif (part := _PHONE_PART.match(text, m.start(), m.end())) and 9 <= len(_digits(part.group())) <= 15:
                 yield "phone_part", *part.span()
-    for m in _IBAN.finditer(text):
-        bare = m.group().replace(" ", "")
-        if 15 <= len(bare) <= 34 and mod97(bare):
-            yield "iban", *m.span()
+    for span in _ibans(text):
+        yield "iban", *span
 
 
 def find_spans(text: str, min_score: float = 0.0) -> list[Span]:
