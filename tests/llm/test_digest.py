@@ -95,3 +95,12 @@ def test_bounds(spark):
         df = spark.createDataFrame([(i,) for i in ids], "id long")
         got = {r[0]: r[1] for r in df.select("id", D._bounds_up_to(df["id"], bounds)).collect()}
         assert got == {i: None if i is None else sum(b <= i for b in bounds) for i in ids}
+
+
+def test_texts_without_features_are_not_all_alike(spark, make_docs):
+    texts = ["x " * 200, "=" * 300, "-" * 300, "-" * 500, "", "ab" * 100, "ab" * 100]
+    _, d = make_docs(texts)
+    rows = op10(spark, d).orderBy("doc_id").collect()
+    assert all(not len(D.features([t.encode()])[0]) for t in texts)
+    assert [r.near_next for r in rows] == [0.0, 0.0, 1.0, 0.0, 0.0, 1.0, 0.0]
+    assert rows[2].near_edited == 1.0 and rows[4].near_edited == 1.0

@@ -181,6 +181,13 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(np.average(score, weights=a[1]))
 
 
+def text_likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], s: bytes, t: bytes) -> float:
+    """likeness of the digests a and b of the texts s and t; of their windows of SHORT_WINDOW bytes if neither has a feature."""
+    if len(a[1]) or len(b[1]) or s == t:
+        return likeness(a, b)
+    return likeness(filters(_short(s)), filters(_short(t)))
+
+
 def _bounds_up_to(value: Column, bounds: list[int]) -> Column:
     """How many of the ascending bounds are at most value, in two steps of about the square root of their number each."""
     step = max(1, math.isqrt(len(bounds)))
@@ -251,7 +258,9 @@ def edited_text(text: str, following: str) -> str:
 def document_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    A null text counts as empty; an empty text has an empty fingerprint, alike to an empty one only. A text under
+    A null text counts as empty; an empty text has an empty fingerprint, alike to an empty one only. So has a longer text
+    whose windows are all equally rare (one character or a short line again and again); two texts without features are
+    compared by their distinct windows of 8 bytes. A text under
     128 bytes has all its windows of 8 bytes as features, one under 8 bytes itself. Rows with equal ids are ordered by a hash of their text; null ids come first.
     A single row is followed by itself. ids are long; other columns are left out.
     """
@@ -263,8 +272,8 @@ def document_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str =
         edited = [edited_text(t, f) for t, f in zip(texts, follows)]
         # a row's following text is the next row's own, but for the last and where a range ends
         chain = [k for k in range(len(texts)) if k + 1 == len(texts) or follows[k] is not texts[k + 1]]
-        raw = [t.encode("utf-8") for t in texts]
-        made = [filters(f) for f in features(raw + [e.encode("utf-8") for e in edited] + [follows[k].encode("utf-8") for k in chain])]
+        raw, new = ([t.encode("utf-8") for t in x] for x in (texts, edited))
+        made = [filters(f) for f in features(raw + new + [follows[k].encode("utf-8") for k in chain])]
         own, changed, extra = made[: len(raw)], made[len(raw) : 2 * len(raw)], dict(zip(chain, made[2 * len(raw) :]))
         after = [extra[k] if k in extra else own[k + 1] for k in range(len(raw))]
         return pa.RecordBatch.from_arrays(
@@ -274,8 +283,8 @@ def document_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str =
                 pa.array([hashlib.sha256(e.encode("utf-8")).hexdigest() for e in edited]),
                 pa.array([fingerprint(x) for x in own]),
                 pa.array([fingerprint(x) for x in changed]),
-                pa.array([likeness(x, y) for x, y in zip(own, changed)], pa.float64()),
-                pa.array([likeness(x, y) for x, y in zip(own, after)], pa.float64()),
+                pa.array([text_likeness(*x) for x in zip(own, changed, raw, new)], pa.float64()),
+                pa.array([text_likeness(x, y, s, f.encode("utf-8")) for x, y, s, f in zip(own, after, raw, follows)], pa.float64()),
             ],
             schema.names,
         )
