@@ -11,15 +11,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where that is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only where that is unset and the session is a local one, as in tests, a temporary folder is made.
+    """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="weftgraph-")
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Lets executors import this package, once for each context: it is sent to them as a zip by the driver.
 
@@ -56,6 +68,4 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, number: int) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{number}")
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        remove_path(self.spark, f"{self.root}/{number}")
