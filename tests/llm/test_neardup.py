@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from weftgraph.llm import neardup
+from weftgraph.llm import common, neardup
 from weftgraph.llm import shingles as S
 from weftgraph.llm.components import connected_components
 from weftgraph.llm.queries import op7_near_duplicates as op7
@@ -81,10 +81,30 @@ def test_against_brute_force(spark, make_docs):
     check(spark, d, texts)
 
 
+def test_hot_keys_and_large_buckets(spark, make_docs, monkeypatch):
+    """Hot classes, centres, labels and shingles are dealt into parts; buckets beyond a few members take the prefix filter."""
+    monkeypatch.setattr(common, "HOT_LEAST", 20)
+    monkeypatch.setattr(common, "HOT_PARTS", 20)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(900)}" for _ in range(60)]
+    texts = [" ".join(base)] * 60
+    texts += [" ".join(base[:k] + [f"x{k}", f"y{rng.random()}"] + base[k + 2 :]) for k in range(2, 56) for _ in range(3)]
+    texts += [" ".join(base[:45] + [f"z{k}-{i}" for i in range(9)]) for k in range(30)]
+    texts += ["word " * 300_000 + "end", "word " * 290_000 + "end"]
+    rng.shuffle(texts)
+    docs, _ = make_docs(texts)
+    n, label = brute(texts)
+    got = {r.doc_id: r for r in neardup.near_duplicate_components(docs, small_bucket=4).collect()}
+    assert [(got[i].n_shingles, got[i].component_id) for i in range(len(texts))] == list(zip(n, label))
+
+
 def test_nulls_and_empty(spark, make_docs):
     _, d = make_docs(["a b c d e f", "a b c d e f", "a b c d e f"], ids=[None, 7, 7])
     got = sorted(map(tuple, op7(spark, d).collect()), key=str)
     assert got == sorted([(None, 2, None, True), (7, 2, 7, True), (7, 2, 7, True)], key=str)
+    # one document in two classes joins them
+    _, d = make_docs(["a b c", "a b c", "d e f", "d e f", "g h"], ids=[4, 9, 9, 6, 9])
+    assert {(r.doc_id, r.component_id) for r in op7(spark, d).collect()} == {(4, 4), (9, 4), (6, 4)}
     _, d = make_docs([])
     assert op7(spark, d).count() == 0
 

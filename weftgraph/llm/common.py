@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,34 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.storage import ship_package
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where that is unset (a local session, as in tests) a temporary folder is made.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="weftgraph-")
-        sc.setCheckpointDir(found)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
+from weftgraph.storage import remove_path, shared_dir, ship_package
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/weftgraph-{name}-{uuid.uuid4().hex}"
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df as a table in the shared folder, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
@@ -99,3 +77,33 @@ def ragged_index(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     ends = np.cumsum(lens)
     return np.arange(total, dtype=np.int64) + np.repeat(starts.astype(np.int64) - (ends - lens), lens)
+
+
+#: A key is hot if it holds more rows than this and than one in HOT_PARTS of all.
+HOT_LEAST, HOT_PARTS = 4096, 1000
+
+
+def hot_keys(counted: DataFrame, total: int) -> dict:
+    """counted(key, rows) -> the parts into which each hot key's rows are dealt. Fewer than HOT_PARTS keys can be hot."""
+    limit = max(HOT_LEAST, total // HOT_PARTS)
+    found = counted.where(F.col(counted.columns[1]) > limit).collect()
+    return {bytes(k) if isinstance(k, bytearray) else k: -(-n // limit) for k, n in found}
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, deal: str, hot: dict, how: str = "inner") -> DataFrame:
+    """many.join(one, key), where the rows of hot keys are dealt into parts by the column deal and their rows of one copied to each.
+
+    hot comes from hot_keys, so the copies are at most 2 * HOT_PARTS for each row that one has of a key. Columns: those of
+    many, then one's but key.
+    """
+    if not hot:
+        return many.join(one, key, how)
+    spark = many.sparkSession
+    at = [f.dataType for f in many.schema.fields if f.name == key][0]
+    schema = T.StructType([T.StructField(key, at), T.StructField("__parts", T.IntegerType())])
+    parts = F.broadcast(spark.createDataFrame(list(hot.items()), schema))  # fewer than HOT_PARTS rows
+    part = F.coalesce(F.pmod(F.xxhash64(deal), F.col("__parts")), F.lit(0)).cast("int")
+    left = many.join(parts, key, "left").withColumn("__part", part).select(*many.columns, "__part")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts") - 1, F.lit(0))))
+    right = one.join(parts, key, "left").withColumn("__part", every).select(*one.columns, "__part")
+    return left.join(right, [key, "__part"], how).select(*many.columns, *[c for c in one.columns if c != key])

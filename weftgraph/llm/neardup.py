@@ -1,10 +1,18 @@
 """Near-duplicate groups by HyperMinHash bands, corrected Jaccard estimates and exact set verification.
 
-Exact copies collapse to classes first. Class representatives put their bands of compressed registers into
-buckets. A bucket of up to SMALL_BUCKET members proposes all its pairs. A larger one proposes a star round
-its most typical member; what the stars leave unlinked goes through an exact prefix filter over the shingles
-of the members of large buckets, so work does not grow with the square of a bucket and no link is lost. Proposed
-pairs pass the estimate, then are confirmed on their full shingle sets, which are made anew from the texts.
+Exact copies collapse to classes first. Class representatives put their bands of compressed registers into buckets.
+Links are sought in steps, each among what the steps before left apart, so that what is passed on is close to a
+spanning forest and not every pair of a group:
+
+1. Each bucket has a centre, its member with the most company in all its buckets. Each document meets the centre that
+   it shares most buckets with.
+2. Documents that are still in different components and share a bucket of up to SMALL_BUCKET members meet, and so do a
+   larger bucket's members and its centre.
+3. What is still apart from the centre of a large bucket goes through an exact prefix filter over shingles, so work does
+   not grow with the square of a bucket and no link is lost.
+
+Proposed pairs pass the estimate, then are confirmed on their full shingle sets. A shingle is its 64-bit hash there: two
+different shingles of a pair of texts with n of them together are taken for one with a chance of about n * n / 2**65.
 """
 
 from __future__ import annotations
@@ -20,12 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.llm import shingles as S
-from weftgraph.llm.common import bound_batches, remove_path, written
+from weftgraph.llm.common import blocks_of, bound_batches, hot_keys, remove_path, salted_join, written
 from weftgraph.llm.components import connected_components
 
 SMALL_BUCKET = 48
 #: Standard errors below the threshold at which an estimate still lets a pair through.
 SIGMAS = 5.0
+#: Shingles in a batch of rows sent on by a worker.
+ELEMENT_ROWS = 200_000
 
 
 def _bytes(batch: pa.RecordBatch, k: int) -> list[bytes]:
@@ -50,17 +60,10 @@ def _signatures(df: DataFrame) -> DataFrame:
 
 
 def _bands(reps: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            regs = np.frombuffer(b"".join(_bytes(b, 2)), np.uint16).reshape(-1, S.REGISTERS)
-            key = np.concatenate([S.band_keys(r) for r in regs]).view(np.int64)
-            wide = lambda k: pa.array(np.repeat(b.column(k).to_numpy(zero_copy_only=False), S.BANDS))
-            band = np.tile(np.arange(S.BANDS, dtype=np.int32), b.num_rows)
-            yield pa.RecordBatch.from_arrays([wide(0), wide(1), pa.array(band), pa.array(key)], ["id", "n", "band", "key"])
-
-    return reps.select("id", "n", "regs").mapInArrow(run, "id long, n long, band int, key long")
+    """id, key: a row for each band of registers; the key is a hash of the band's number and its registers."""
+    width = 2 * S.ROWS
+    keys = f"transform(sequence(0, {S.BANDS - 1}), i -> xxhash64(i, substring(regs, {width} * i + 1, {width})))"
+    return reps.select("id", F.explode(F.expr(keys)).alias("key"))
 
 
 def _sets(df: DataFrame) -> DataFrame:
@@ -73,9 +76,16 @@ def _sets(df: DataFrame) -> DataFrame:
     return df.select("id", "text").mapInArrow(run, "id long, elements binary")
 
 
+def _attached(pairs: DataFrame, one: DataFrame) -> DataFrame:
+    """a, b of pairs (a written table), then one's columns of b and of a, named with _b and _a. one has a column id."""
+    side = lambda c: one.select(*[F.col(x).alias(c if x == "id" else f"{x}_{c}") for x in one.columns])
+    total = pairs.count()
+    hot_a, hot_b = (hot_keys(pairs.groupBy(c).count(), total) for c in ("a", "b"))
+    return salted_join(salted_join(pairs, side("b"), "b", "a", hot_b), side("a"), "a", "b", hot_a)
+
+
 def _promising(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes allow the similarity and whose corrected estimate does not speak against it."""
-    side = lambda c: reps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"r_{c}"))
     near = percent / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,15 +99,13 @@ def _promising(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(estimate >= near - SIGMAS * spread)
             yield b.select(["a", "b"]).filter(keep)
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    joined = _attached(pairs, reps.select("id", "n", "regs"))
     joined = joined.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    return joined.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= percent * union. pairs is a written table."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = _sets(docs.join(wanted, "id", "left_semi"))
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets have 100 * intersection >= percent * union. pairs and sets are written tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -110,28 +118,41 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(both) - common))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("elements").alias(f"e_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "e_a", "e_b").mapInArrow(run, "a long, b long")
+    return _attached(pairs, sets).select("a", "b", "elements_a", "elements_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _elements(docs: DataFrame) -> DataFrame:
-    """id, n, x: a row for each shingle of each text."""
+def _elements(sets: DataFrame) -> DataFrame:
+    """id, n, x: a row for each shingle of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = list(S.shingle_sets(_bytes(b, 1)))
-            if sets:
-                n = np.array(list(map(len, sets)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), n)),
-                        pa.array(np.repeat(n, n)),
-                        pa.array(np.concatenate(sets).view(np.int64)),
-                    ],
-                    ["id", "n", "x"],
-                )
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            own = [np.frombuffer(s, np.int64) for s in _bytes(b, 1)]
+            for lo, hi in blocks_of([len(s) for s in own], ELEMENT_ROWS):
+                n = np.array([len(s) for s in own[lo:hi]])
+                columns = [np.repeat(ids[lo:hi], n), np.repeat(n, n), np.concatenate(own[lo:hi])]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["id", "n", "x"])
+
+    return sets.select("id", "elements").mapInArrow(run, "id long, n long, x long")
+
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, x long")
+class _Tables:
+    """Written tables of one computation."""
+
+    def __init__(self, spark):
+        self.spark, self.paths = spark, []
+
+    def keep(self, frame: DataFrame, name: str) -> DataFrame:
+        table, path = written(frame, f"neardup-{name}")
+        self.paths.append(path)
+        return table
+
+    def components(self, links: DataFrame) -> DataFrame:
+        return connected_components(links, made=self.paths)
+
+    def drop(self) -> None:
+        for path in self.paths:
+            remove_path(self.spark, path)
 
 
 def near_duplicate_components(
@@ -141,110 +162,137 @@ def near_duplicate_components(
 
     Two rows are linked if 100 * |A & B| >= percent * |A | B| for their sets of five-word shingles; equal non-empty
     sets are always linked. A null or wordless text has no shingles and stands alone. A row with a null id is linked
-    with nothing: component_id null, kept true. Rows that repeat an id are judged each by its own text; ids are long.
-    Other columns are left out.
+    with nothing: component_id null, kept true. Rows that repeat an id are one document: links of each are links of all.
+    Texts are read whole, however long: a text of n bytes takes about 30 n bytes while its set is made, 8 a shingle after.
+    Ties of centres go to the smaller id and change no result. ids are long; other columns are left out, so their names
+    may be any. An empty table gives no rows. The result is a table in the shared folder; what led to it is removed.
     """
     spark = df.sparkSession
     bound_batches(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    paths: list[str] = []
+    made = _Tables(spark)
 
-    def kept_table(frame: DataFrame, name: str) -> DataFrame:
-        table, path = written(frame, f"neardup-{name}")
-        paths.append(path)
-        return table
-
-    sig, sig_path = written(_signatures(docs), "neardup-sig")
+    sig = made.keep(_signatures(docs), "sig")
     real = sig.where("n > 0 and id is not null")
-    first = kept_table(real.groupBy("cls").agg(F.min("id").alias("rep")), "classes")
-    reps = real.join(first, (real["cls"] == first["cls"]) & (real["id"] == first["rep"])).select("id", "n", real["cls"], "regs")
-    reps = kept_table(reps.dropDuplicates(["cls"]).drop("cls"), "reps")
-    rep_docs = docs.join(reps.select("id"), "id", "left_semi")
-
-    bucket = W.partitionBy("band", "key")
-    met = kept_table(_bands(reps).withColumn("size", F.count(F.lit(1)).over(bucket)).where("size > 1"), "buckets")
-    # Small buckets: all pairs of at most small_bucket members.
-    small = met.where(F.col("size") <= small_bucket).groupBy("band", "key").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    pairs = (
-        small.select("ids", F.posexplode("ids").alias("i", "a"))
-        .select("a", F.explode(F.slice("ids", F.col("i") + 2, F.lit(small_bucket))).alias("b"))
-        .distinct()
+    reps = real.groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.count("n").alias("copies"))
+    reps = made.keep(reps, "reps")
+    again = made.keep(real.groupBy("id").count().where("count > 1").select("id"), "repeated")
+    repeated = not again.isEmpty()
+    total = reps.count()
+
+    bands = _bands(reps)
+    buckets = bands.groupBy("key").agg(F.count("id").alias("size")).where("size > 1")
+    buckets = made.keep(buckets, "buckets")
+    hot = hot_keys(buckets.select("key", "size"), total)
+    met = salted_join(bands, buckets, "key", "id", hot)
+    company = W.partitionBy("id")  # BANDS rows at most, more only where ids repeat
+    met = made.keep(met.select("id", "key", "size", F.sum("size").over(company).alias("score")), "met")
+    centre = met.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("c"))
+    centre = centre.select("key", F.col("c.score").alias("rank"), (-F.col("c.minus")).alias("p"))
+    stars = salted_join(met.select("id", "key", "size"), centre, "key", "id", hot).where("id <> p")
+    stars = made.keep(stars, "stars")
+    wanted = made.keep(met.select("id").distinct(), "wanted")
+    sets = _sets(docs.join(wanted, "id", "left_semi"))
+    sets = made.keep(sets.dropDuplicates(["id", "elements"]) if repeated else sets, "sets")
+
+    def linked(pairs: DataFrame, step: str) -> DataFrame:
+        tried = made.keep(pairs, f"{step}-pairs")
+        promising = made.keep(_promising(tried, reps, percent), f"{step}-promising")
+        return made.keep(_confirmed(promising, sets, percent), f"{step}-links")
+
+    # 1. Everyone and the centre that it shares most buckets with.
+    shared = stars.groupBy("id", "p").agg(F.count("key").alias("votes"), F.max("rank").alias("rank"))
+    best = shared.groupBy("id").agg(F.max(F.struct("votes", "rank", (-F.col("p")).alias("minus"))).alias("c"))
+    first = best.select((-F.col("c.minus")).alias("a"), F.col("id").alias("b"))
+    links = linked(first, "first")
+    if repeated:
+        same = real.join(again, "id", "left_semi").select("id", "cls").join(reps.select(F.col("id").alias("b"), "cls"), "cls")
+        links = made.keep(links.union(same.where("id <> b").select(F.col("id").alias("a"), "b")).distinct(), "same-links")
+    parts = made.components(links)
+
+    # 2. Members of small buckets, and large buckets' members and centres, that are in different components.
+    label = lambda frame, c: frame.join(parts.select(F.col("id").alias(c), F.col("component").alias(f"l_{c}")), c, "left")
+    small = label(met.where(F.col("size") <= small_bucket), "id").select("key", F.coalesce("l_id", "id").alias("l"), "id")
+    apart = small.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("l", "id"))).alias("xs")).where("xs[0].l <> element_at(xs, -1).l")
+    pairs = apart.select("xs", F.explode("xs").alias("x")).select(
+        F.col("x.id").alias("x"), F.explode(F.expr("filter(xs, y -> y.l > x.l)")).alias("y")
     )
-    promising = kept_table(_promising(pairs, reps, percent), "pairs")
-    links = kept_table(_confirmed(promising, rep_docs, percent), "links")
-
-    large = met.where(F.col("size") > small_bucket)
-    if not large.isEmpty():
-        links = _large_buckets(large, links, reps, rep_docs, percent, kept_table)
-    parts = connected_components(links)
-    by_class = first.join(parts, first["rep"] == parts["id"], "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
-    out = sig.drop("regs").join(by_class, "cls", "left")
+    pairs = pairs.select(F.least("x", "y.id").alias("a"), F.greatest("x", "y.id").alias("b"))
+    large = label(stars.where(F.col("size") > small_bucket).select(F.col("p").alias("a"), F.col("id").alias("b")).distinct(), "b")
+    centres = stars.where(F.col("size") > small_bucket).select(F.col("p").alias("a")).distinct()
+    centres = label(centres, "a").select("a", F.coalesce("l_a", "a").alias("l_a"))
+    large = made.keep(large.select("a", "b", F.coalesce("l_b", "b").alias("l_b")), "large")
+    to_centre = salted_join(large, centres, "a", "b", hot_keys(large.groupBy("a").count(), large.count()))
+    pairs = pairs.union(to_centre.where("l_a <> l_b").select(F.least("a", "b"), F.greatest("a", "b")))
+    more = linked(pairs.distinct(), "second")
+    if not more.isEmpty():
+        links = made.keep(links.union(more), "links")
+        parts = made.components(links)
+
+    # 3. Large buckets whose members are not all with their centre yet.
+    still = label(large.select("a", "b"), "b").select("a", "b", F.coalesce("l_b", "b").alias("l_b"))
+    still = made.keep(still, "still")
+    centres = label(centres.select("a"), "a").select("a", F.coalesce("l_a", "a").alias("l_a"))
+    still = salted_join(still, centres, "a", "b", hot_keys(still.groupBy("a").count(), still.count())).where("l_a <> l_b")
+    still = made.keep(still.select(F.col("b").alias("id"), F.lit(True).alias("open")).distinct(), "open")
+    if not still.isEmpty():
+        members = label(met.where(F.col("size") > small_bucket).select("id").distinct(), "id")
+        members = members.join(still, "id", "left")
+        members = members.select("id", F.coalesce("l_id", "id").alias("l"), F.coalesce("open", F.lit(False)).alias("open"))
+        rest = _rest_pairs(made.keep(members, "members"), sets, percent, made)
+        links = made.keep(links.union(linked(rest, "rest")), "all-links")
+        parts = made.components(links)
+
+    by_class = reps.join(parts, "id", "left").select("cls", F.coalesce("component", "id").alias("component_id"))
+    classes = hot_keys(reps.select("cls", "copies"), sig.count())
+    out = salted_join(sig.drop("regs"), by_class, "cls", "id", classes, "left")
     alone = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     alone = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(alone)
     result, _ = written(
         out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), alone.alias("component_id")), "neardup-result"
     )
-    for path in (sig_path, *paths):
-        remove_path(spark, path)
+    made.drop()
     return result.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One document of each near-duplicate group, that of the smallest id, with all columns; rows without id stay.
 
-    Of rows that repeat both id and text one stays.
+    Of rows that repeat both id and text one stays; rows of that id with other texts stay too. Null, empty and very long
+    texts, ties, empty tables and other columns as in near_duplicate_components.
     """
     found = near_duplicate_components(df, id_col, text_col, percent)
-    gone = found.where("not kept").select(id_col).distinct()
+    gone, _ = written(found.where("not kept").select(id_col).distinct(), "neardup-gone")
+    again, _ = written(found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "neardup-again")
     left = df.join(gone, id_col, "left_anti").select(*df.columns)
-    again = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    if again.isEmpty():
+        return left
     once = left.join(again, id_col, "left_anti").select(*df.columns)
     return once.unionByName(left.join(again, id_col, "left_semi").select(*df.columns).dropDuplicates([id_col, text_col]))
 
 
-def _large_buckets(large: DataFrame, links: DataFrame, reps: DataFrame, rep_docs: DataFrame, percent: int, kept_table) -> DataFrame:
-    """links and those that the large buckets add.
+def _rest_pairs(members: DataFrame, sets: DataFrame, percent: int, made: _Tables) -> DataFrame:
+    """members (id, l, open) -> every pair a, b of an open one and one of another component l that may be linked.
 
-    Let s be how many of a document's n shingles some other member of a large bucket has. A link to one of m
-    shingles needs an intersection of at least percent / (100 + percent) * (n + m), and of at least percent / 100 * n,
-    so a document with a smaller s has no link there.
+    Let s be how many of a document's n shingles some other member has. A link to one of m shingles needs an
+    intersection of at least percent / (100 + percent) * (n + m), and of at least percent / 100 * n, so a document
+    with a smaller s has no link here. With shingles in order of frequency, two documents whose intersection is at
+    least o share one among the first n - o + 1 of either. What only one document has comes first and is counted, not
+    sent.
     """
     least = f"cast(ceil({percent} * n / 100) as long)"
-    members = kept_table(large.select("id").distinct(), "large")
-    rows = _elements(rep_docs.join(members, "id", "left_semi"))
-    rows = kept_table(rows, "elements")
-    df = rows.groupBy("x").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = rows.join(df, "x")
-    able = shared.groupBy("id", "n").agg(F.count(F.lit(1)).alias("s")).where(f"s >= {least}")
-    able = kept_table(able, "able")
-
-    # Stars: each large bucket's member with the largest share of common shingles, with all others that may be linked.
-    inside = kept_table(large.select("id", "band", "key").join(able, "id"), "inside")
-    rank = F.struct((F.col("s") / F.col("n")).alias("share"), F.col("n"), (-F.col("id")).alias("minus"))
-    centre = inside.groupBy("band", "key").agg(F.max(rank).alias("c")).select("band", "key", (-F.col("c.minus")).alias("p"))
-    stars = inside.join(centre, ["band", "key"]).where("id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
-    stars = stars.distinct().join(links, ["a", "b"], "left_anti")
-    promising = kept_table(_promising(stars, reps, percent), "star-pairs")
-    links = kept_table(links.union(_confirmed(promising, rep_docs, percent)), "star-links")
-
-    # The rest: members that are in another component than a centre of theirs.
-    parts = connected_components(links)
-    label = lambda c: parts.select(F.col("id").alias(c), F.col("component").alias(f"l_{c}"))
-    placed = inside.join(centre, ["band", "key"]).join(label("id"), "id", "left").join(label("p"), "p", "left")
-    left = placed.where("coalesce(l_id, id) <> coalesce(l_p, p)").select("id").distinct().withColumn("open", F.lit(True))
-    able = able.join(left, "id", "left").join(label("id"), "id", "left")
-    able = able.select("id", "s", F.coalesce("open", F.lit(False)).alias("open"), F.coalesce("l_id", "id").alias("l"))
-    # Prefix filter: with shingles in order of frequency, two documents whose intersection is at least o share one
-    # among the first n - o + 1 of either. What only one document has comes first and is counted, not sent.
+    rows = made.keep(_elements(sets.join(members, "id", "left_semi")), "elements")
+    df = made.keep(rows.groupBy("x").agg(F.count("id").alias("df")).where("df > 1"), "frequencies")
+    hot = hot_keys(df.select("x", "df"), rows.count())
+    shared = made.keep(salted_join(rows, df, "x", "id", hot), "shared")
+    able = shared.groupBy("id", "n").agg(F.count("x").alias("s")).where(f"s >= {least}").drop("n").join(members, "id")
     order = W.partitionBy("id").orderBy("df", "x")
     ranked = shared.join(able, "id").withColumn("at", F.row_number().over(order) + F.col("n") - F.col("s"))
-    prefix = kept_table(ranked.where(f"at <= n - {least} + 1").select("id", "n", "x", "at", "open", "l"), "prefix")
+    prefix = made.keep(ranked.where(f"at <= n - {least} + 1").select("id", "n", "x", "at", "open", "l"), "prefix")
     x, y = prefix.where("open").alias("p"), prefix.alias("q")
     need = f"cast(ceil({percent} * (p.n + q.n) / {100 + percent}) as long)"
     pairs = x.join(
         y,
         F.expr(f"p.x = q.x and p.l <> q.l and (not q.open or p.id < q.id) and p.at <= p.n - {need} + 1 and q.at <= q.n - {need} + 1"),
     )
-    pairs = pairs.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
-    promising = kept_table(_promising(pairs, reps, percent), "rest-pairs")
-    return kept_table(links.union(_confirmed(promising, rep_docs, percent)), "rest-links")
+    return pairs.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
