@@ -15,26 +15,72 @@ def entropy(window):
 
 
 def brute_features(t):
-    """Windows with enough votes, by plain loops over the module's ranks."""
-    n = len(t) - D.WINDOW + 1
-    ent = D.window_entropies(np.frombuffer(t, np.uint8))
-    off = [min(abs(int(e) - int(D.TYPICAL * 65536)) * 1000 // int(6 * D.SPREAD * 65536), 1000) for e in ent]
+    """Hashes of the chosen windows in order of place, by plain loops: windows of 16, stretches of 16, three votes."""
+    if len(t) < 16:
+        return [int(D._hashes(np.frombuffer(t, np.uint8), len(t))[0])] if t else []
+    windows = [t[i : i + 16] for i in range(len(t) - 15)]
+    ranks = []
+    for w in windows:
+        rarity = min(1000, int(abs(round(entropy(w) * 65536) - 3.5 * 65536) * 1000 // int(1.8 * 65536)))
+        ranks.append((-rarity, int(D._hashes(np.frombuffer(w, np.uint8), 16)[0]) >> 11))
     votes = Counter()
-    for i in range(n - D.WINDOW + 1):
-        votes[min(range(i, i + D.WINDOW), key=lambda j: (-off[j], j))] += 1
-    return [t[j : j + D.WINDOW] for j in sorted(votes) if votes[j] >= D.VOTES]
+    for i in range(max(1, len(windows) - 15)):
+        votes[min(ranks[i : i + 16])] += 1
+    enough = min(3, max(votes.values()))
+    return [(1000 + r) << 53 | h for r, h in dict.fromkeys(ranks) if votes[r, h] >= enough]
 
 
 def text(rng, n):
     return " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 9))) for _ in range(n))
 
 
+DEGENERATE = ["a" * 5000, "b" * 5000, "ab" * 3000, "xyz " * 3000, "x " * 200, "=" * 300, "-" * 300, "0123456789abcdef" * 40, "tiny", "é"]
+
+
 def test_entropies_and_features():
     rng = random.Random(2)
-    for t in (text(rng, 60).encode(), b"a" * 300, bytes(range(256)) * 2, ("é漢 " * 60).encode()):
-        ent = D.window_entropies(np.frombuffer(t, np.uint8)) / 65536
-        assert np.allclose(ent, [entropy(t[i : i + D.WINDOW]) for i in range(len(t) - D.WINDOW + 1)], atol=1e-3)
-        assert len(D.features([t])[0]) == len(set(brute_features(t)))
+    odd = [text(rng, 60), text(rng, 5), "é漢 " * 60, *DEGENERATE]
+    for t in [x.encode() for x in odd] + [bytes(range(256)) * 2, *(bytes(range(97, 97 + n)) for n in (1, 15, 16, 17, 26))]:
+        if len(t) >= 16:
+            ent = D.window_entropies(np.frombuffer(t, np.uint8)) / 65536
+            assert np.allclose(ent, [entropy(t[i : i + 16]) for i in range(len(t) - 15)], atol=1e-3)
+        got = D.features([t])[0].tolist()
+        want = brute_features(t)
+        assert len(got) == len(set(got)) and len(got) > 0
+        same = len(set(got) & set(want))  # entropies are rounded differently, which may turn a rank by one
+        assert same >= 0.9 * max(len(got), len(want)), t[:40]
+
+
+def test_pieces_of_long_texts(monkeypatch):
+    rng = random.Random(6)
+    t = text(rng, 4000).encode()
+    whole = D.features([t])[0].tolist()
+    for size in (64, 100, 1000):
+        monkeypatch.setattr(D, "BLOCK_BYTES", size)
+        assert D.features([t[:3], t, b""])[1].tolist() == whole
+
+
+def test_no_cliffs_and_no_false_twins():
+    rng = random.Random(7)
+    sk = lambda t: D.filters(D.features([t.encode()])[0])
+    for n in (60, 100, *range(118, 142), 255, 256):
+        t = text(rng, 80)[:n]
+        near = D.likeness(sk(t), sk(t[:-1] + "q"))
+        assert near > 0.6, (n, near)
+    made = [sk(t) for t in DEGENERATE]
+    for i, a in enumerate(made):
+        assert len(a[1])
+        for j, b in enumerate(made):
+            assert (D.likeness(a, b) == 1.0) == (i == j) and (i == j or D.likeness(a, b) < 0.9), (i, j)
+
+
+def test_likeness_in_blocks(monkeypatch):
+    rng = random.Random(9)
+    a, b = text(rng, 20_000), text(rng, 9000)
+    x, y = (D.filters(D.features([t.encode()])[0]) for t in (a + b, b[:20_000] + a))
+    whole = D.likeness(x, y)
+    monkeypatch.setattr(D, "PAIRS", 7)
+    assert abs(D.likeness(x, y) - whole) < 1e-12 and whole > 0.5
 
 
 def test_features_do_not_depend_on_the_batch():
@@ -49,7 +95,7 @@ def test_likeness():
     sk = lambda t: D.filters(D.features([t.encode()])[0])
     a, b = text(rng, 3000), text(rng, 3000)
     assert D.likeness(sk(a), sk(a)) == 1.0 and D.likeness(sk(""), sk("")) == 1.0 and D.likeness(sk(""), sk(a)) == 0.0
-    assert D.likeness(sk(a), sk(b)) < 0.02
+    assert D.likeness(sk(a), sk(b)) < 0.1
     small = D.likeness(sk(a), sk(a[: len(a) // 2] + b[: len(a) // 2]))
     large = D.likeness(sk(a), sk(a[:-50]))
     assert 0.2 < small < large
@@ -95,12 +141,3 @@ def test_bounds(spark):
         df = spark.createDataFrame([(i,) for i in ids], "id long")
         got = {r[0]: r[1] for r in df.select("id", D._bounds_up_to(df["id"], bounds)).collect()}
         assert got == {i: None if i is None else sum(b <= i for b in bounds) for i in ids}
-
-
-def test_texts_without_features_are_not_all_alike(spark, make_docs):
-    texts = ["x " * 200, "=" * 300, "-" * 300, "-" * 500, "", "ab" * 100, "ab" * 100]
-    _, d = make_docs(texts)
-    rows = op10(spark, d).orderBy("doc_id").collect()
-    assert all(not len(D.features([t.encode()])[0]) for t in texts)
-    assert [r.near_next for r in rows] == [0.0, 0.0, 1.0, 0.0, 0.0, 1.0, 0.0]
-    assert rows[2].near_edited == 1.0 and rows[4].near_edited == 1.0

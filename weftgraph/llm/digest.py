@@ -1,9 +1,11 @@
 """Improbable-feature digests: rare byte windows, chosen by entropy, in chained Bloom filters.
 
-Every window of 32 bytes has an entropy, and a rank that says how improbable that entropy is for text. Within
-each stretch of 32 consecutive windows the rarest (leftmost of equals) gets a vote; windows with enough votes are
-features. Their hashes set five bits each in a filter of 2048 bits; a filter that holds 160 features is closed and
-the next one begun. Two digests are compared filter by filter through their common bits beyond what chance gives.
+Every window of 16 bytes has an entropy, and a rank that says how improbable that entropy is for text. Within each
+stretch of 16 consecutive windows the rarest gets a vote; of equally rare ones that with the least hash, so votes for
+the same bytes come together wherever they stand. Windows with enough votes are features; their hashes set five bits
+each in a filter of 2048 bits; a filter that holds 160 features is closed and the next one begun. Two digests are
+compared filter by filter through their common bits beyond what chance gives. A text shorter than a window is one
+window, and if no window has enough votes, those with the most are features: only an empty text has none.
 """
 
 from __future__ import annotations
@@ -20,11 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import blocks_of, bound_batches
+from weftgraph.llm.common import blocks_of, bound_batches, ragged_index
 
-WINDOW = 32
-LOG_WINDOW = 5
-VOTES = 6
+WINDOW = 16
+STRETCH = 16
+VOTES = 3
 FILTER_BITS = 2048
 HASHES = 5
 PER_FILTER = 160
@@ -33,6 +35,10 @@ CUTOFF = 0.3
 #: Entropies of text windows lie round this mean with this spread (bits per byte); rarity is the distance from it.
 TYPICAL, SPREAD = 3.5, 0.3
 BLOCK_BYTES = 400_000
+#: Pairs of filters compared at once.
+PAIRS = 200_000
+#: Texts dealt by ascending id go into ranges of about so many bytes, but not more than so many ranges.
+RANGE_BYTES, MOST_RANGES = 64_000_000, 4096
 
 _rng = np.random.default_rng(20_240_910)
 _POSITION = _rng.integers(0, 1 << 64, WINDOW, np.uint64) | np.uint64(1)
@@ -64,79 +70,89 @@ def window_entropies(data: np.ndarray) -> np.ndarray:
     if n > 1:
         np.cumsum(gain[behind[WINDOW:]] - gain[ahead[: n - 1]], out=total[1:])
         total[1:] += first
-    return LOG_WINDOW * (1 << 16) - total // WINDOW
+    return int(math.log2(WINDOW)) * (1 << 16) - total // WINDOW
 
 
-def features(texts: list[bytes]) -> list[np.ndarray]:
-    """For each text the distinct hashes of its features in order of place."""
-    out: list[np.ndarray] = []
-    for a, b in blocks_of([len(t) for t in texts], BLOCK_BYTES):
-        out += _block(texts[a:b])
-    return out
-
-
-#: Texts under SHORT bytes have too few windows to choose from: all their windows of SHORT_WINDOW bytes are features.
-SHORT, SHORT_WINDOW = 4 * WINDOW, 8
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
+def _hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every window of that width."""
+    n = len(data) - width + 1
+    symbol = _SYMBOL[data]
+    h = np.full(n, np.uint64(width), np.uint64)
+    for k in range(width):
+        h += symbol[k : k + n] * _POSITION[k]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32))
 
 
-def _distinct(h: np.ndarray) -> np.ndarray:
-    _, first = np.unique(h, return_index=True)
-    return h[np.sort(first)]
-
+def window_keys(data: np.ndarray) -> np.ndarray:
+    """For each window its rank, the least first: how typical its entropy is (10 bits), then 53 bits of its hash."""
+    off = np.abs(window_entropies(data) - int(TYPICAL * (1 << 16)))
+    off = np.minimum(off * 1000 // int(6 * SPREAD * (1 << 16)), 1000)  # rarity: 0 typical, 1000 least probable
+    return ((1000 - off) << 53) | (_hashes(data, WINDOW) >> np.uint64(11)).astype(np.int64)
 
-def _short(t: bytes) -> np.ndarray:
-    if len(t) < SHORT_WINDOW:
-        return np.frombuffer(hashlib.sha256(t).digest()[: 8 * bool(t)], np.uint64)
-    data = _SYMBOL[np.frombuffer(t, np.uint8)]
-    n = len(t) - SHORT_WINDOW + 1
-    h = np.zeros(n, np.uint64)
-    for k in range(SHORT_WINDOW):
-        h += data[k : k + n] * _POSITION[k]
-    return _distinct(_mixed(h))
 
+def features(texts: list[bytes]) -> list[np.ndarray]:
+    """For each text the distinct hashes of its features in order of place.
 
-def _block(texts: list[bytes]) -> list[np.ndarray]:
-    long = [i for i, t in enumerate(texts) if len(t) >= SHORT]
-    out = [_short(t) if len(t) < SHORT else np.empty(0, np.uint64) for t in texts]
+    Texts are taken in blocks of BLOCK_BYTES, a longer one in pieces that overlap by a stretch, so memory does not grow
+    with a text's length.
+    """
+    reach = WINDOW + STRETCH - 2
+    pieces = [(i, a, t[a : a + BLOCK_BYTES + reach]) for i, t in enumerate(texts) for a in range(0, max(1, len(t) - reach), BLOCK_BYTES)]
+    voted: dict[int, list] = {}
+    for a, b in blocks_of([len(p[2]) for p in pieces], BLOCK_BYTES + reach):
+        for (i, _, _), runs in zip(pieces[a:b], _votes([p[2] for p in pieces[a:b]])):
+            voted.setdefault(i, []).append(runs)
+    return [_chosen(voted[i]) for i in range(len(texts))]
+
+
+def _votes(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text (keys, votes) of the windows that won neighbouring stretches, in order of place."""
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in texts]
+    for i, t in enumerate(texts):
+        if 0 < len(t) < WINDOW:
+            out[i] = _hashes(np.frombuffer(t, np.uint8), len(t)).view(np.int64), np.ones(1, np.int64)
+    long = [i for i, t in enumerate(texts) if len(t) >= WINDOW]
     if not long:
         return out
     data = np.frombuffer(b"".join(texts[i] for i in long), np.uint8)
     size = np.array([len(texts[i]) for i in long], np.int64)
-    entropy = window_entropies(data)
-    off = np.abs(entropy - int(TYPICAL * (1 << 16)))
-    off = np.minimum(off * 1000 // int(6 * SPREAD * (1 << 16)), 1000)  # rarity: 0 typical, 1000 least probable
-    # Least key = rarest, leftmost; minima over stretches of 32 windows by doubling.
-    key = ((1000 - off) << 40) | np.arange(len(off), dtype=np.int64)
+    begin = np.cumsum(size) - size
+    windows = size - WINDOW + 1
+    key = np.full(len(data), np.iinfo(np.int64).max)
+    key[: len(data) - WINDOW + 1] = window_keys(data)
+    across = ragged_index(begin + windows, np.minimum(WINDOW - 1, size))  # windows that reach into the next text
+    key[across] = np.iinfo(np.int64).max
     least, width = key, 1
-    while width < WINDOW:
+    while width < STRETCH:
         least = np.minimum(least[: len(least) - width], least[width:])
         width *= 2
-    best = least & ((1 << 40) - 1)
-    begin = np.cumsum(size) - size
-    owner = np.repeat(np.arange(len(long)), size)[: len(best)]
-    inside = np.arange(len(best)) + 2 * WINDOW - 2 < (begin + size)[owner]
-    best, owner = best[inside], owner[inside]
-    # The minimum's place never moves back, so its votes are a run. A run never joins two texts: places are global.
-    turn = np.flatnonzero(np.diff(best, prepend=-1))
-    votes = np.diff(np.append(turn, len(best)))
-    chosen = turn[votes >= VOTES]
-    place, whose = best[chosen], owner[chosen]
-    h = np.zeros(len(place), np.uint64)
-    for k in range(WINDOW):
-        h += _SYMBOL[data[place + k]] * _POSITION[k]
-    h = _mixed(h)
-    stops = np.searchsorted(whose, np.arange(len(long) + 1))
+    stretches = np.maximum(1, windows - STRETCH + 1)
+    won = least[ragged_index(begin, stretches)]
+    stops = np.cumsum(stretches)
+    turn = np.ones(len(won), bool)
+    np.not_equal(won[1:], won[:-1], out=turn[1:])
+    turn[stops[:-1]] = True
+    at = np.flatnonzero(turn)
+    votes = np.diff(np.append(at, len(won)))
+    cuts = np.searchsorted(at, stops)
     for j, i in enumerate(long):
-        out[i] = _distinct(h[stops[j] : stops[j + 1]])
+        lo, hi = (cuts[j - 1] if j else 0), cuts[j]
+        out[i] = won[at[lo:hi]], votes[lo:hi]
     return out
 
 
+def _chosen(runs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    keys, votes = (np.concatenate(x) for x in zip(*runs))
+    if not len(keys):
+        return np.empty(0, np.uint64)
+    distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    sums = np.bincount(which, votes)
+    found = sums >= min(VOTES, sums.max())
+    return distinct[found][np.argsort(first[found])].view(np.uint64)
+
+
 def filters(feats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(filters x 256 bytes, features in each)."""
     n = -(-len(feats) // PER_FILTER)
@@ -158,13 +174,11 @@ def parse(said: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array(rows, np.uint8).reshape(len(parts), FILTER_BITS // 8), np.array([int(c) for c, _ in parts], np.int64)
 
 
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint16)
-
-
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """0 to 1: for each filter of the digest with fewer, its best normalised overlap with one of the other's, weighted by features.
 
-    The overlap of two filters is their common bits beyond the cutoff, over those possible beyond it. Equal digests give 1.
+    The overlap of two filters is their common bits beyond the cutoff, over those possible beyond it. Equal digests
+    give 1, an empty one and another give 0. Digests of n and m filters take n * m comparisons, PAIRS at once.
     """
     if len(a[1]) == len(b[1]) and np.array_equal(a[0], b[0]):
         return 1.0
@@ -172,20 +186,17 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
         return 0.0
     if (len(a[1]), int(a[1].sum())) > (len(b[1]), int(b[1].sum())):
         a, b = b, a
-    common = _ONES[a[0][:, None, :] & b[0][None, :, :]].sum(axis=2).astype(np.float64)
-    x, y = (_ONES[f[0]].sum(axis=1).astype(np.float64) for f in (a, b))
-    most = np.minimum(x[:, None], y[None, :])
-    chance = x[:, None] * y[None, :] / FILTER_BITS
-    floor = CUTOFF * (most - chance) + chance
-    score = np.clip((common - floor) / np.maximum(most - floor, 1e-9), 0.0, 1.0).max(axis=1)
-    return float(np.average(score, weights=a[1]))
-
-
-def text_likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], s: bytes, t: bytes) -> float:
-    """likeness of the digests a and b of the texts s and t; of their windows of SHORT_WINDOW bytes if neither has a feature."""
-    if len(a[1]) or len(b[1]) or s == t:
-        return likeness(a, b)
-    return likeness(filters(_short(s)), filters(_short(t)))
+    left, right = (np.ascontiguousarray(f[0]).view(np.uint64) for f in (a, b))
+    x, y = (np.bitwise_count(f).sum(axis=1).astype(np.float64) for f in (left, right))
+    best = []
+    step = max(1, PAIRS // len(right))
+    for k in range(0, len(left), step):
+        common = np.bitwise_count(left[k : k + step, None, :] & right[None, :, :]).sum(axis=2).astype(np.float64)
+        most = np.minimum(x[k : k + step, None], y[None, :])
+        chance = x[k : k + step, None] * y[None, :] / FILTER_BITS
+        floor = CUTOFF * (most - chance) + chance
+        best.append(np.clip((common - floor) / np.maximum(most - floor, 1e-9), 0.0, 1.0).max(axis=1))
+    return float(np.average(np.concatenate(best), weights=a[1]))
 
 
 def _bounds_up_to(value: Column, bounds: list[int]) -> Column:
@@ -205,8 +216,9 @@ def with_next(df: DataFrame, id_col: str, text_col: str, fn, schema: T.StructTyp
     """
     spark = df.sparkSession
     bound_batches(spark)
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, size // RANGE_BYTES))
     bounds = docs.where("id is not null").stat.approxQuantile("id", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
     bounds = sorted({int(x) for x in bounds})
     part = F.lit(0)
@@ -258,11 +270,10 @@ def edited_text(text: str, following: str) -> str:
 def document_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    A null text counts as empty; an empty text has an empty fingerprint, alike to an empty one only. So has a longer text
-    whose windows are all equally rare (one character or a short line again and again); two texts without features are
-    compared by their distinct windows of 8 bytes. A text under
-    128 bytes has all its windows of 8 bytes as features, one under 8 bytes itself. Rows with equal ids are ordered by a hash of their text; null ids come first.
-    A single row is followed by itself. ids are long; other columns are left out.
+    A null text counts as empty; an empty text has an empty fingerprint, alike to an empty one only. Equal texts have equal
+    fingerprints. Very long texts are worked off in pieces; comparing two of n filters takes n * n steps, 2000 bytes or so
+    to a filter. Rows with equal ids are ordered by a hash of their text; null ids come first. A single row is followed by
+    itself. An empty table gives no rows. ids are long; other columns are left out, so their names may be any.
     """
     schema = T._parse_datatype_string(
         "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -283,8 +294,8 @@ def document_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str =
                 pa.array([hashlib.sha256(e.encode("utf-8")).hexdigest() for e in edited]),
                 pa.array([fingerprint(x) for x in own]),
                 pa.array([fingerprint(x) for x in changed]),
-                pa.array([text_likeness(*x) for x in zip(own, changed, raw, new)], pa.float64()),
-                pa.array([text_likeness(x, y, s, f.encode("utf-8")) for x, y, s, f in zip(own, after, raw, follows)], pa.float64()),
+                pa.array([likeness(*x) for x in zip(own, changed)], pa.float64()),
+                pa.array([likeness(*x) for x in zip(own, after)], pa.float64()),
             ],
             schema.names,
         )
