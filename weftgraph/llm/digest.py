@@ -1,7 +1,7 @@
 """Improbable-feature digests: rare byte windows, chosen by entropy, in chained Bloom filters.
 
-Every window of 16 bytes has an entropy, and a rank that says how improbable that entropy is for text. Within each
-stretch of 16 consecutive windows the rarest gets a vote; of equally rare ones that with the least hash, so votes for
+Every window of 8 bytes has an entropy, and a rank that says how improbable that entropy is for text. Within each
+stretch of 8 consecutive windows the rarest gets a vote; of equally rare ones that with the least hash, so votes for
 the same bytes come together wherever they stand. Windows with enough votes are features; their hashes set five bits
 each in a filter of 2048 bits; a filter that holds 160 features is closed and the next one begun. Two digests are
 compared filter by filter through their common bits beyond what chance gives. A text shorter than a window is one
@@ -24,16 +24,16 @@ from pyspark.sql import types as T
 
 from weftgraph.llm.common import blocks_of, bound_batches, ragged_index
 
-WINDOW = 16
-STRETCH = 16
-VOTES = 3
+WINDOW = 8
+STRETCH = 8
+VOTES = 2
 FILTER_BITS = 2048
 HASHES = 5
 PER_FILTER = 160
 #: Part of the way from chance to full agreement that common bits must exceed to count.
 CUTOFF = 0.3
 #: Entropies of text windows lie round this mean with this spread (bits per byte); rarity is the distance from it.
-TYPICAL, SPREAD = 3.5, 0.3
+TYPICAL, SPREAD = 2.7, 0.3
 BLOCK_BYTES = 400_000
 #: Pairs of filters compared at once.
 PAIRS = 200_000
@@ -70,7 +70,7 @@ def window_entropies(data: np.ndarray) -> np.ndarray:
     if n > 1:
         np.cumsum(gain[behind[WINDOW:]] - gain[ahead[: n - 1]], out=total[1:])
         total[1:] += first
-    return int(math.log2(WINDOW)) * (1 << 16) - total // WINDOW
+    return round(math.log2(WINDOW) * (1 << 16)) - total // WINDOW
 
 
 def _hashes(data: np.ndarray, width: int) -> np.ndarray:
@@ -271,7 +271,7 @@ def document_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """Per row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     A null text counts as empty; an empty text has an empty fingerprint, alike to an empty one only. Equal texts have equal
-    fingerprints. Very long texts are worked off in pieces; comparing two of n filters takes n * n steps, 2000 bytes or so
+    fingerprints. Very long texts are worked off in pieces; comparing two of n filters takes n * n steps, 900 bytes or so
     to a filter. Rows with equal ids are ordered by a hash of their text; null ids come first. A single row is followed by
     itself. An empty table gives no rows. ids are long; other columns are left out, so their names may be any.
     """
