@@ -6,7 +6,6 @@ import posixpath
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def clean(path: str) -> str:
@@ -22,11 +21,25 @@ def normalize(identifier: str) -> str:
 
 
 def normalized(col: Column) -> Column:
-    """normalize() as a column. Identifiers that are clean already, the common case, stay in the JVM."""
+    """normalize() as a column. Only identifiers that are not clean already are taken apart."""
     turned = F.replace(F.regexp_replace(col, r"^(?U:\s+)|(?U:\s+)\z", ""), F.lit("\\"), F.lit("/"))
     tidy = ~turned.rlike(r"//|(?:^|/)\.{1,2}(?:/|\z)|.(?s:)/\z")
-    slow = F.udf(normalize, T.StringType())
-    return F.when(tidy, turned).otherwise(slow(turned))
+    rooted = turned.startswith("/")
+    segments = F.filter(F.split(turned, "/"), lambda x: (x != "") & (x != "."))
+
+    def stepped(kept: Column, x: Column) -> Column:
+        upward = (F.size(kept) > 0) & (F.try_element_at(kept, F.lit(-1)) != "..")
+        above = F.when(rooted, kept).otherwise(F.array_append(kept, x))
+        return F.when(x != "..", F.array_append(kept, x)).when(upward, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(above)
+
+    kept = F.aggregate(segments, F.array().cast("array<string>"), stepped)
+    body = F.array_join(kept, "/")
+    return F.when(tidy, turned).when(rooted, F.concat(F.lit("/"), body)).when(body == "", F.lit(".")).otherwise(body)
+
+
+def separated(col: Column) -> Column:
+    """Blanks trimmed, backslashes turned, doubled slashes and a final one taken out: what a glob is matched with."""
+    return F.regexp_replace(F.regexp_replace(F.trim(col), r"[/\\]+", "/"), r"(?<=.)/\z", "")
 
 
 def relative(root: str, target: str) -> str | None:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import kinds
 from weftgraph.functions.identifiers import normalize, normalized
-from weftgraph.storage import ship_package
 
 SCHEMA = "source string, target string, external boolean, import_kinds int"
 COLUMNS = ("source", "target", "external", "import_kinds")
@@ -33,7 +32,6 @@ def canonical(edges: DataFrame, normalize_ids: bool = True) -> DataFrame:
     """
     e = edges.select("source", "target", "external", "import_kinds")
     if normalize_ids:
-        ship_package(edges.sparkSession)
         e = e.withColumns({"source": normalized(F.col("source")), "target": F.when(F.col("external"), F.trim("target")).otherwise(normalized(F.col("target")))})
     e = e.where((F.col("source") != "") & (F.col("target") != ""))
     own = F.col("source") == F.col("target")

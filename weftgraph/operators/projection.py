@@ -44,20 +44,29 @@ def per_external_edge() -> Mapping:
     return Mapping(s, t, F.col("external") & (s != t))
 
 
-def project_all(edges: DataFrame, mapping: Mapping, cumulate: bool = False) -> DataFrame:
-    """source_label, target_label, count of edges behind, and (with cumulate) those edges, sorted."""
+def gathered(labelled: DataFrame, cumulate: bool = False) -> DataFrame:
+    """Labelled edges by their pair of labels: the count, and (with cumulate) the edges, sorted."""
     raw = F.struct("source", "target", "external", "import_kinds")
     what = [F.count(F.lit(1)).alias("count")]
     if cumulate:
         what.append(F.array_sort(F.collect_list(raw)).alias("cumulated"))
-    return mapping.apply(edges).groupBy("source_label", "target_label").agg(*what)
+    return labelled.groupBy("source_label", "target_label").agg(*what)
+
+
+def project_all(edges: DataFrame, mapping: Mapping, cumulate: bool = False) -> DataFrame:
+    """source_label, target_label, count of edges behind, and (with cumulate) those edges, sorted."""
+    return gathered(mapping.apply(edges), cumulate)
+
+
+def apart(mapping: Mapping) -> Mapping:
+    """The mapping without pairs of equal labels."""
+    differ = mapping.source != mapping.target
+    return Mapping(mapping.source, mapping.target, differ if mapping.where is None else mapping.where & differ)
 
 
 def project_edges(edges: DataFrame, mapping: Mapping, cumulate: bool = False) -> DataFrame:
     """project_all without pairs of equal labels; the filter stands before the grouping."""
-    apart = mapping.source != mapping.target
-    where = apart if mapping.where is None else mapping.where & apart
-    return project_all(edges, Mapping(mapping.source, mapping.target, where), cumulate)
+    return project_all(edges, apart(mapping), cumulate)
 
 
 def project_nodes(edges: DataFrame, mapping: Mapping) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from weftgraph import report
 from weftgraph.errors import TechnicalError
+from weftgraph.storage import Scratch
 
 # Levels from silent to talkative.
 LEVELS = ("error", "warn", "info", "debug")
@@ -51,8 +52,11 @@ class Logger:
                 raise TechnicalError(f"open the log file {path}") from e
             self._out.append(self._file)
 
+    def shows(self, level: str) -> bool:
+        return LEVELS.index(level) <= LEVELS.index(self.options.level)
+
     def record(self, level: str, word: str, text: str) -> None:
-        if LEVELS.index(level) > LEVELS.index(self.options.level):
+        if not self.shows(level):
             return
         for out in self._out:
             try:
@@ -126,8 +130,17 @@ def guard(populations: list[Population], options: CheckOptions) -> DataFrame | N
     return report.empty_tests(populations[0].rows.sparkSession, empty) if empty else None
 
 
+def progress(log: Logger | None, step: str, rows: DataFrame) -> None:
+    """A record of how many rows a step came to; they are counted only for a log that shows it."""
+    if log is not None and log.shows("debug"):
+        log.progress(step, rows.count())
+
+
 def logged(rule: Any, options: CheckOptions, check: Callable[[Logger | None], DataFrame]) -> DataFrame:
-    """Runs check with start, violation and end records if a log is asked for; only then are violations collected here."""
+    """Runs check with start, progress, violation and end records if a log is asked for.
+
+    Only then are the violations written once to the shared folder and passed by here, a partition at a time.
+    """
     if options.log is None:
         return check(None)
     log, name = Logger(options.log), str(rule) or "a rule"
@@ -135,13 +148,15 @@ def logged(rule: Any, options: CheckOptions, check: Callable[[Logger | None], Da
         log.start(name)
         try:
             found = check(log)
-            rows = found.collect()
+            found = Scratch(found.sparkSession).write(found)
+            count = 0
+            for v in found.toLocalIterator():
+                count += 1
+                log.violation(f"{v['kind']}: {report.sentence(v)}")
         except Exception as e:
             log.failed(name, e)
             raise
-        for v in rows:
-            log.violation(f"{v['kind']}: {report.sentence(v)}")
-        log.end(name, len(rows))
+        log.end(name, count)
         return found
     finally:
         log.close()

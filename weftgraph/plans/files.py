@@ -11,11 +11,12 @@ from pyspark.sql import types as T
 
 from weftgraph import report
 from weftgraph.errors import UserError
+from weftgraph.functions.identifiers import separated
 from weftgraph.functions.patterns import SHOULD, SHOULD_NOT, Filter, Mood, Selection
 from weftgraph.operators import graph
 from weftgraph.operators.components import project_circuits
 from weftgraph.operators.projection import per_internal_edge, project_edges
-from weftgraph.options import CheckOptions, Population, guard, logged
+from weftgraph.options import CheckOptions, Logger, Population, guard, logged, progress
 from weftgraph.plans.base import Stage, options_or_default
 
 
@@ -132,7 +133,7 @@ class _Rule:
 
     def check(self, options: CheckOptions | None = None) -> DataFrame:
         options = options_or_default(options)
-        return logged(self, options, lambda log: self._judge(options))
+        return logged(self, options, lambda log: self._judge(options, log))
 
     def _own(self, edges: DataFrame) -> DataFrame:
         return graph.own_nodes(edges)
@@ -140,7 +141,7 @@ class _Rule:
     def _subjects(self, own: DataFrame) -> Population:
         return Population("files", ", ".join(map(str, self.files.scope.filters)), own, self.files.scope.column(_node()))
 
-    def _judge(self, options: CheckOptions) -> DataFrame:
+    def _judge(self, options: CheckOptions, log: Logger | None = None) -> DataFrame:
         raise NotImplementedError
 
 
@@ -149,10 +150,11 @@ class NamingRule(_Rule):
     mood: Mood
     required: Filter | None
 
-    def _judge(self, options: CheckOptions) -> DataFrame:
+    def _judge(self, options: CheckOptions, log: Logger | None = None) -> DataFrame:
         own = self._own(self.files._edges(options))
         if (empty := guard([self._subjects(own)], options)) is not None:
             return empty
+        progress(log, "selected files", own.where(self.files.scope.column(_node())))
         broken = own.where(self.files.scope.column(_node())).where(~self.mood.holds(self.required.column(_node())))
         return report.violations(broken, report.FILE_NAMING, subject=_node(), mood=str(self.mood), requirement=str(self.required))
 
@@ -203,7 +205,7 @@ class DependencyRule(_Rule):
     def except_path(self, *patterns: str) -> DependencyRule:
         return self._selecting(lambda: self.objects.excepting(*map(self.files.patterns.path, patterns)))
 
-    def _judge(self, options: CheckOptions) -> DataFrame:
+    def _judge(self, options: CheckOptions, log: Logger | None = None) -> DataFrame:
         edges = self.files._edges(options)
         own = self._own(edges)
         populations = [self._subjects(own)]
@@ -215,6 +217,8 @@ class DependencyRule(_Rule):
         # not external is a declared node.
         subject, target = self.files.scope.column(F.col("source")), self.objects.column(F.col("target"))
         hits = edges.where(~F.col("external") & (F.col("source") != F.col("target"))).where(subject & target)
+        progress(log, "selected files", own.where(self.files.scope.column(_node())))
+        progress(log, "dependencies on what the rule names", hits)
         requirement = ", ".join(map(str, self.objects.filters))
         return _judge_dependencies(own, self.files.scope.column(_node()), hits, self.mood, report.FILE_DEPENDENCY, requirement)
 
@@ -240,13 +244,16 @@ class ExternalRule(_Rule):
     def except_(self, *patterns: str) -> ExternalRule:
         return self._selecting(lambda: self.modules.excepting(*map(self.files.patterns.path, patterns)))
 
-    def _judge(self, options: CheckOptions) -> DataFrame:
+    def _judge(self, options: CheckOptions, log: Logger | None = None) -> DataFrame:
         edges = self.files._edges(options)
         own = self._own(edges)
         if (empty := guard([self._subjects(own)], options)) is not None:
             return empty
         hits = edges.where(F.col("external") & (F.col("source") != F.col("target")))
-        hits = hits.where(self.files.scope.column(F.col("source")) & self.modules.column(F.col("target")))
+        # An external target stays as it was written, so its separators are turned for the match.
+        hits = hits.where(self.files.scope.column(F.col("source")) & self.modules.column(separated(F.col("target"))))
+        progress(log, "selected files", own.where(self.files.scope.column(_node())))
+        progress(log, "dependencies on what the rule names", hits)
         return _judge_dependencies(own, self.files.scope.column(_node()), hits, self.mood, report.FILE_EXTERNAL, str(self.modules))
 
     def __str__(self) -> str:
@@ -256,19 +263,22 @@ class ExternalRule(_Rule):
 
 def select_external_modules(edges: DataFrame, modules: Selection = Selection(any_of=True)) -> DataFrame:
     """module: distinct external targets that any selector matches."""
-    return edges.where("external").where(modules.column(F.col("target"))).select(F.col("target").alias("module")).distinct()
+    return edges.where("external").where(modules.column(separated(F.col("target")))).select(F.col("target").alias("module")).distinct()
 
 
 @dataclass(frozen=True)
 class CyclesRule(_Rule):
-    def _judge(self, options: CheckOptions) -> DataFrame:
+    def _judge(self, options: CheckOptions, log: Logger | None = None) -> DataFrame:
         edges = self.files._edges(options)
         own = self._own(edges)
         if (empty := guard([self._subjects(own)], options)) is not None:
             return empty
         scope = self.files.scope
         inside = edges.where(scope.column(F.col("source")) & scope.column(F.col("target")))
-        found = project_circuits(project_edges(inside, per_internal_edge()))
+        pairs = project_edges(inside, per_internal_edge())
+        progress(log, "selected files", own.where(scope.column(_node())))
+        progress(log, "dependencies between the selected files", pairs)
+        found = project_circuits(pairs)
         return report.violations(found.circuits, report.FILE_CYCLE, subject=F.get("labels", F.lit(0)), mood="should", members=F.col("labels"))
 
     def __str__(self) -> str:
@@ -288,13 +298,14 @@ class AdherenceRule(_Rule):
     requirement: str
     texts: DataFrame | None = field(default=None, repr=False, compare=False)
 
-    def _judge(self, options: CheckOptions) -> DataFrame:
+    def _judge(self, options: CheckOptions, log: Logger | None = None) -> DataFrame:
         edges = self.files._edges(options)
         own = self._own(edges)
         if (empty := guard([self._subjects(own)], options)) is not None:
             return empty
         if self.texts is None:
             raise UserError("adhere to: the texts of the files are needed")
+        progress(log, "selected files", own.where(self.files.scope.column(_node())))
         # Texts are read now, and only of the files in scope.
         chosen = self.texts.where(self.files.scope.column(F.col("path"))).join(own.where(self.files.scope.column(_node())), F.col("path") == _node(), "left_semi")
         if getattr(self.predicate, "__weft_row__", False):

@@ -6,15 +6,14 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftgraph import report
 from weftgraph.errors import UserError
 from weftgraph.functions.patterns import Filter, Selection
 from weftgraph.operators import graph
-from weftgraph.operators.projection import Mapping, project_edges
-from weftgraph.options import CheckOptions, Population, guard, logged
+from weftgraph.operators.projection import Mapping, apart, gathered
+from weftgraph.options import CheckOptions, Logger, Population, guard, logged, progress
 from weftgraph.plans.base import Stage, options_or_default
 
 ONLY, NOT = "may only depend on", "may not depend on"
@@ -99,9 +98,9 @@ class Layers(Stage):
 
     def check(self, options: CheckOptions | None = None) -> DataFrame:
         options = options_or_default(options)
-        return logged(self, options, lambda log: self._judge(options))
+        return logged(self, options, lambda log: self._judge(options, log))
 
-    def _judge(self, options: CheckOptions) -> DataFrame:
+    def _judge(self, options: CheckOptions, log: Logger | None = None) -> DataFrame:
         edges = self._edges(options)
         if not self.clauses:
             raise UserError("a policy needs a clause")
@@ -109,16 +108,13 @@ class Layers(Stage):
         asked = [Population(f'files in layer "{n}"', str(s), own, F.coalesce(F.col("layer") == n, F.lit(False))) for n, s in self.layers]
         if (empty := guard(asked, options)) is not None:
             return empty
-        pairs = project_edges(edges, self.mapping(), cumulate=True)
         spark = edges.sparkSession
-        rows = [(i, c.layer, c.mood, list(c.named)) for i, c in enumerate(self.clauses)]
-        policy = spark.createDataFrame(rows, "clause int, layer string, mood string, named array<string>")
-        inside = F.array_contains("named", F.col("target_label"))
-        broken = F.when(F.col("mood") == NOT, inside).otherwise(~inside)
-        # a policy has as many rows as clauses were written; the first broken prohibition wins, then the first permission
-        hits = pairs.join(F.broadcast(policy), F.col("source_label") == F.col("layer")).where(broken)
-        order = W.partitionBy("source_label", "target_label").orderBy(F.when(F.col("mood") == NOT, 0).otherwise(1), "clause")
-        first = hits.withColumn("k", F.row_number().over(order)).where("k = 1")
+        # What a pair of layers breaks follows from the policy alone, so edges meet the broken pairs before they are
+        # gathered. There are at most as many pairs as the user declared layers, squared.
+        broken = F.broadcast(spark.createDataFrame(self._broken(), "source_label string, target_label string, mood string, named array<string>"))
+        hits = gathered(apart(self.mapping()).apply(edges).join(broken.select("source_label", "target_label"), ["source_label", "target_label"]), cumulate=True)
+        first = hits.join(broken, ["source_label", "target_label"])
+        progress(log, "pairs of layers that break a clause", first)
         return report.violations(
             first,
             report.LAYER_DEPENDENCY,
@@ -129,6 +125,17 @@ class Layers(Stage):
             dependencies=F.transform("cumulated", lambda x: F.struct(x["source"].alias("source"), x["target"].alias("target"))),
         )
 
+    def _broken(self) -> list[tuple[str, str, str, list[str]]]:
+        """For each pair of layers the clause that an edge between them breaks: the first prohibition, else the first permission."""
+        out = []
+        for source, _ in self.layers:
+            mine = sorted((c for c in self.clauses if c.layer == source), key=lambda c: c.mood != NOT)
+            for target, _ in self.layers:
+                hit = [c for c in mine if (target in c.named) == (c.mood == NOT)]
+                if target != source and hit:
+                    out.append((source, target, hit[0].mood, list(hit[0].named)))
+        return out
+
     def __str__(self) -> str:
         said = ["project layers", *(f'layer "{n}" defined by {s}' for n, s in self.layers), *map(str, self.clauses)]
         return ", ".join(said) + (f" (rejected: {self.error})" if self.error else "")

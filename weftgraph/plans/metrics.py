@@ -14,7 +14,7 @@ from weftgraph import report
 from weftgraph.errors import EmptySnapshotError, UserError
 from weftgraph.functions.patterns import SHOULD, SHOULD_NOT, Filter, Mood, Selection
 from weftgraph.operators import metrics as M
-from weftgraph.options import CheckOptions, Population, guard, logged
+from weftgraph.options import CheckOptions, Logger, Population, guard, logged, progress
 from weftgraph.plans.base import Stage, options_or_default
 from weftgraph.sinks.files import write_text
 from weftgraph.sinks.metrics_page import ReportOptions, render_metrics_page
@@ -248,7 +248,7 @@ class _MetricRule:
 
     def check(self, options: CheckOptions | None = None) -> DataFrame:
         options = options_or_default(options)
-        return logged(self, options, lambda log: self._judge(options))
+        return logged(self, options, lambda log: self._judge(options, log))
 
     def _guarded(self, options: CheckOptions) -> tuple[M.Subjects, DataFrame, DataFrame | None]:
         subjects = self.metric.metrics.subjects(options)
@@ -261,10 +261,11 @@ class ThresholdRule(_MetricRule):
     comparison: str
     limit: float
 
-    def _judge(self, options: CheckOptions) -> DataFrame:
+    def _judge(self, options: CheckOptions, log: Logger | None = None) -> DataFrame:
         _, measured, empty = self._guarded(options)
         if empty is not None:
             return empty
+        progress(log, "measurements", measured)
         broken = measured.where(~self.mood.holds(M.holds(F.col("value"), self.comparison, self.limit)))
         return report.violations(
             broken, report.THRESHOLD, subject=F.col("subject"), metric=F.col("metric"), value=F.col("value"),
@@ -281,10 +282,11 @@ class SatisfactionRule(_MetricRule):
     predicate: Callable = field(repr=False, compare=False)
     requirement: str = ""
 
-    def _judge(self, options: CheckOptions) -> DataFrame:
+    def _judge(self, options: CheckOptions, log: Logger | None = None) -> DataFrame:
         subjects, measured, empty = self._guarded(options)
         if empty is not None:
             return empty
+        progress(log, "measurements", measured)
         classes = subjects.classes
         # of classes that share an identifier the first by path is meant
         first = classes.groupBy("identifier").agg(F.min_by(F.struct(*classes.columns), "path").alias("class"))
@@ -311,12 +313,13 @@ class ZoneRule:
 
     def check(self, options: CheckOptions | None = None) -> DataFrame:
         options = options_or_default(options)
-        return logged(self, options, lambda log: self._judge(options))
+        return logged(self, options, lambda log: self._judge(options, log))
 
-    def _judge(self, options: CheckOptions) -> DataFrame:
+    def _judge(self, options: CheckOptions, log: Logger | None = None) -> DataFrame:
         found = self.metrics.subjects(options).components
         if (empty := guard([Population("components", str(self.metrics.scope), found)], options)) is not None:
             return empty
+        progress(log, "components", found)
         return report.violations(
             found.where(M.in_zone(self.zone)), report.ZONE, subject=F.col("label"), requirement=self.zone, mood="should not",
             abstractness=M.abstractness(), instability=M.instability(),

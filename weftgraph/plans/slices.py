@@ -12,8 +12,8 @@ from weftgraph.errors import EmptySnapshotError, UserError
 from weftgraph.functions import identifiers
 from weftgraph.functions.patterns import GLOB, REGEX, SHOULD, SHOULD_NOT, Mood, Pattern, compile_pattern
 from weftgraph.operators import graph
-from weftgraph.operators.projection import Mapping, project_all, project_edges
-from weftgraph.options import CheckOptions, Population, guard, logged
+from weftgraph.operators.projection import Mapping, apart, gathered, project_all, project_edges
+from weftgraph.options import CheckOptions, Logger, Population, guard, logged, progress
 from weftgraph.plans.base import Stage, make_failed, options_or_default
 from weftgraph.sinks.files import write_text
 from weftgraph.sources.diagram import Diagram, parse_diagram, read_diagram, render_plantuml
@@ -157,9 +157,9 @@ class SliceDependencyRule:
 
     def check(self, options: CheckOptions | None = None) -> DataFrame:
         options = options_or_default(options)
-        return logged(self, options, lambda log: self._judge(options))
+        return logged(self, options, lambda log: self._judge(options, log))
 
-    def _judge(self, options: CheckOptions) -> DataFrame:
+    def _judge(self, options: CheckOptions, log: Logger | None = None) -> DataFrame:
         edges = self.slices._edges(options)
         members = self.slices._members(edges)
         said = self.slices.slicing.said
@@ -168,6 +168,7 @@ class SliceDependencyRule:
         named = [Population(f'files in slice "{n}"', said, members, F.col("slice") == n) for n in (self.source, self.target)]
         if (empty := guard(named, options)) is not None:
             return empty
+        progress(log, "slices found", members.select("slice").distinct())
         mapping = self.slices.slicing.mapping()
         pair = (mapping.source == self.source) & (mapping.target == self.target)
         found = project_edges(edges, replace(mapping, where=mapping.where & pair), cumulate=True)
@@ -197,9 +198,9 @@ class DiagramRule:
 
     def check(self, options: CheckOptions | None = None) -> DataFrame:
         options = options_or_default(options)
-        return logged(self, options, lambda log: self._judge(options))
+        return logged(self, options, lambda log: self._judge(options, log))
 
-    def _judge(self, options: CheckOptions) -> DataFrame:
+    def _judge(self, options: CheckOptions, log: Logger | None = None) -> DataFrame:
         edges = self.slices._edges(options)
         diagram = self.diagram or read_diagram(self.path)
         members = self.slices._members(edges)
@@ -208,17 +209,18 @@ class DiagramRule:
         spark = edges.sparkSession
         declared = F.broadcast(spark.createDataFrame([(c,) for c in diagram.components], "name string"))  # what a diagram draws
         drawn = F.broadcast(spark.createDataFrame(list(diagram.dependencies), "source_label string, target_label string"))
-        pairs = project_edges(edges, self.slices.slicing.mapping(), cumulate=True)
+        progress(log, "components that the diagram declares", declared)
+        between = apart(self.slices.slicing.mapping()).apply(edges)
         ends = declared.select(F.col("name").alias("source_label")), declared.select(F.col("name").alias("target_label"))
-        undrawn = pairs.join(ends[0], "source_label", "left_semi").join(ends[1], "target_label", "left_semi")
-        undrawn = undrawn.join(drawn, ["source_label", "target_label"], "left_anti")
+        undrawn = between.join(ends[0], "source_label", "left_semi").join(ends[1], "target_label", "left_semi")
+        undrawn = gathered(undrawn.join(drawn, ["source_label", "target_label"], "left_anti"), cumulate=True)
         found = report.violations(
             undrawn, report.SLICE_DIAGRAM, subject=F.col("source_label"), object=F.col("target_label"), mood="should", finding=report.UNDRAWN, dependencies=_behind()
         )
         present = members.select("slice").distinct()
         extra = present.join(declared, F.col("slice") == F.col("name"), "left_anti")
         if self.skip_orphans:
-            tied = pairs.select(F.explode(F.array("source_label", "target_label")).alias("tied")).distinct()
+            tied = between.select(F.explode(F.array("source_label", "target_label")).alias("tied")).distinct()
             extra = extra.join(tied, F.col("slice") == F.col("tied"), "left_semi")
         found = found.unionByName(report.violations(extra, report.SLICE_DIAGRAM, subject=F.col("slice"), mood="should", finding=report.UNDECLARED))
         if not self.skip_absent:

@@ -1,4 +1,4 @@
-"""Text formats of a snapshot. A drawn report is for readers, so its nodes and edges come to the driver.
+"""Text formats of a snapshot; their keywords, column names and JSON keys are fixed values. A drawn report is for readers, so its nodes and edges come to the driver.
 
 For reports beyond that, tables() gives the same rows as a DataFrame to be written by Spark.
 """
@@ -74,7 +74,7 @@ def tables(snapshot: Snapshot) -> DataFrame:
 
 def _quoted(text: str, newline: str = "\\n") -> str:
     said = text.replace("\\", "\\\\").replace('"', '\\"')
-    return '"' + said.replace("\r\n", newline).replace("\r", newline).replace("\n", newline) + '"'
+    return '"' + said.replace("\r", "").replace("\n", newline) + '"'
 
 
 def dot(d: Drawn) -> str:
@@ -100,7 +100,7 @@ def mermaid(d: Drawn) -> str:
 def d2(d: Drawn) -> str:
     ids = d.ids()
     out = [f"# {one_line(d.headline)}", f"# {d.counts}", "direction: right"]
-    out += [f"{ids[n]}: {{label: {_quoted(n)}{'; style.stroke-dash: 3' if external else ''}}}" for n, external in d.nodes]
+    out += [f"{ids[n]}: {{label: {_quoted(n, " ")}{'; style.stroke-dash: 3' if external else ''}}}" for n, external in d.nodes]
     out += [f"{ids[s]} -> {ids[t]}" + (f': "{n}"' if n > 1 else "") for s, t, n, _, _ in d.edges]
     return "\n".join([*out, ""])
 

@@ -11,5 +11,5 @@ def html(text: str) -> str:
 
 
 def one_line(text: str) -> str:
-    """Line breaks become blanks."""
-    return text.replace("\r\n", " ").replace("\r", " ").replace("\n", " ")
+    """Line feeds become blanks, carriage returns go."""
+    return text.replace("\r", "").replace("\n", " ")
