@@ -218,13 +218,11 @@ def project_all_external(spark, sf_dir):
     "project_cumulated",
     with_base(
         f"SELECT {FOLDER.format('source')} AS source_label, {FOLDER.format('target')} AS target_label, count(*) AS count, "
-        f"string_agg(source || ' -> ' || target, ',' ORDER BY source, target) AS edges FROM inner_deps WHERE source LIKE 'supply/AFRICA/%' AND {FOLDER.format('source')} <> {FOLDER.format('target')} GROUP BY 1, 2"
+        f"string_agg(source || ' -> ' || target, ',' ORDER BY source, target) AS edges FROM inner_deps WHERE {FOLDER.format('source')} <> {FOLDER.format('target')} GROUP BY 1, 2"
     ),
 )
 def project_cumulated(spark, sf_dir):
-    m = _folders()
-    m = projection.Mapping(m.source, m.target, m.where & F.col("source").startswith("supply/AFRICA/"))
-    out = projection.project_edges(testdata.edges(spark, sf_dir), m, cumulate=True)
+    out = projection.project_edges(testdata.edges(spark, sf_dir), _folders(), cumulate=True)
     said = F.array_join(F.transform("cumulated", lambda x: F.concat(x["source"], F.lit(" -> "), x["target"])), ",")
     return out.select("source_label", "target_label", "count", said.alias("edges"))
 
@@ -246,12 +244,12 @@ def project_nodes(spark, sf_dir):
     "adjacency",
     with_base(
         "SELECT label, coalesce((SELECT string_agg(DISTINCT b, ',' ORDER BY b) FROM p WHERE a = label), '') AS successors FROM (SELECT a AS label FROM p UNION SELECT b FROM p)",
-        f" p AS (SELECT DISTINCT {FOLDER.format('source')} AS a, {FOLDER.format('target')} AS b FROM inner_deps WHERE source LIKE 'demand/%')",
+        f" p AS (SELECT DISTINCT {FOLDER.format('source')} AS a, {FOLDER.format('target')} AS b FROM inner_deps)",
     ),
 )
 def adjacency(spark, sf_dir):
     m = _folders()
-    m = projection.Mapping(m.source, m.target, m.where & (F.col("source") != F.col("target")) & F.col("source").startswith("demand/"))
+    m = projection.Mapping(m.source, m.target, m.where & (F.col("source") != F.col("target")))
     out = projection.adjacency(projection.project_edges(testdata.edges(spark, sf_dir), m))
     return out.select("label", _joined("successors").alias("successors"))
 
@@ -281,7 +279,10 @@ def in_path_should_not(spark, sf_dir):
 
 @query(
     "depend_on_files_should",
-    with_base("SELECT node AS subject FROM own WHERE node LIKE 'demand/%' AND NOT EXISTS (SELECT 1 FROM inner_deps WHERE source = node AND target LIKE 'supply/EUROPE/%' AND target NOT LIKE '%1.go')"),
+    with_base(
+        "SELECT node AS subject FROM own ANTI JOIN hit ON node = source WHERE node LIKE 'demand/%'",
+        " hit AS (SELECT DISTINCT source FROM inner_deps WHERE target LIKE 'supply/EUROPE/%' AND target NOT LIKE '%1.go')",
+    ),
 )
 def depend_on_files_should(spark, sf_dir):
     rule = project_files(testdata.edges(spark, sf_dir)).in_folder("demand/**").should().depend_on_files().in_folder("supply/EUROPE/**").except_name("*1.go")
@@ -297,7 +298,7 @@ def depend_on_files_should_not(spark, sf_dir):
     return rule.check(FREE).select("subject", _joined("members").alias("members"))
 
 
-@query("external_should", with_base("SELECT node AS subject FROM own WHERE NOT EXISTS (SELECT 1 FROM edges WHERE external AND source = node AND target LIKE 'catalog/Brand#17/part\\_1%' ESCAPE '\\')"))
+@query("external_should", with_base("SELECT node AS subject FROM own ANTI JOIN (SELECT DISTINCT source FROM edges WHERE external AND target LIKE 'catalog/Brand#17/part\\_1%' ESCAPE '\\') ON node = source"))
 def external_should(spark, sf_dir):
     return project_files(testdata.edges(spark, sf_dir)).should().depend_on_external_modules().matching("catalog/Brand#17/part_1*").check().select("subject")
 
@@ -471,14 +472,31 @@ def distance_metrics(spark, sf_dir):
     return _metrics(spark, sf_dir).distance().measure()
 
 
-@query("zone_of_pain", with_base("SELECT label AS subject, abs_ AS abstractness, ins AS instability FROM ai WHERE sqrt(pow(abs_ - 0.0, 2) + pow(ins - 0.0, 2)) <= 0.3", COMPONENT_SQL))
+#: One way only: what buyers depend on. Their components are unstable, those of suppliers stable.
+ONE_WAY_SQL = COMPONENT_SQL.replace("FROM inner_deps)", "FROM inner_deps WHERE source LIKE 'demand/%')")
+
+
+def _one_way(spark, sf_dir, turned: bool = False):
+    edges = testdata.edges(spark, sf_dir).where("external or source = target or source like 'demand/%'")
+    classes = testdata.classes(spark, sf_dir)
+    return metrics(edges, testdata.file_metrics(spark, sf_dir), classes.withColumn("interface", ~F.col("interface")) if turned else classes)
+
+
+@query("zone_of_pain", with_base("SELECT label AS subject, abs_ AS abstractness, ins AS instability FROM ai WHERE sqrt(pow(abs_ - 0.0, 2) + pow(ins - 0.0, 2)) <= 0.3", ONE_WAY_SQL))
 def zone_of_pain(spark, sf_dir):
-    return _metrics(spark, sf_dir).distance().should_not_be_in_zone_of_pain().check().select("subject", "abstractness", "instability")
+    return _one_way(spark, sf_dir).distance().should_not_be_in_zone_of_pain().check().select("subject", "abstractness", "instability")
 
 
-@query("zone_of_uselessness", with_base("SELECT label AS subject, abs_ AS abstractness, ins AS instability FROM ai WHERE sqrt(pow(abs_ - 1.0, 2) + pow(ins - 1.0, 2)) <= 0.3", COMPONENT_SQL))
+@query(
+    "zone_of_uselessness",
+    with_base(
+        "SELECT label AS subject, 1.0 * (classes - interfaces) / classes AS abstractness, ins AS instability FROM ai WHERE sqrt(pow(1.0 * (classes - interfaces) / classes - 1.0, 2) + pow(ins - 1.0, 2)) <= 0.3",
+        ONE_WAY_SQL,
+    ),
+)
 def zone_of_uselessness(spark, sf_dir):
-    return _metrics(spark, sf_dir).distance().should_not_be_in_zone_of_uselessness().check().select("subject", "abstractness", "instability")
+    """Interfaces and other classes change places, so most classes of buyers are interfaces."""
+    return _one_way(spark, sf_dir, True).distance().should_not_be_in_zone_of_uselessness().check().select("subject", "abstractness", "instability")
 
 
 LCOM_SQL = (
@@ -606,9 +624,14 @@ def snapshot_edges(spark, sf_dir):
     return _snapshot(spark, sf_dir).edges
 
 
-@query("snapshot_self_edges", with_base("SELECT a AS source, b AS target, count(*) AS count FROM s WHERE a = b GROUP BY a, b", SNAP_SQL))
+CONTINENT = "CASE WHEN {0} LIKE '%/ASIA/%' THEN 'asia' WHEN {0} LIKE '%/A%/%' THEN 'others' ELSE array_to_string(string_split({0}, '/')[1:2], '/') END"
+
+
+@query("snapshot_self_edges", with_base(f"SELECT a AS source, b AS target, count(*) AS count FROM (SELECT {CONTINENT.format('source')} AS a, {CONTINENT.format('target')} AS b FROM inner_deps) WHERE a = b GROUP BY a, b"))
 def snapshot_self_edges(spark, sf_dir):
-    return _snapshot(spark, sf_dir, lambda g: g.including_self_dependencies()).edges.where("source = target").select("source", "target", "count")
+    g = project_graph(testdata.edges(spark, sf_dir)).collapse_to_folder_depth(2)
+    g = g.collapse_by_pattern("asia", "*/ASIA/**").collapse_by_pattern("others", "*/A*/**").including_self_dependencies()
+    return g.snapshot().edges.where("source = target").select("source", "target", "count")
 
 
 @query(
@@ -664,14 +687,35 @@ def scc_nations(spark, sf_dir):
     return strong_components(_pairs(spark, sf_dir, 2))
 
 
-@query("scc_files")
+SCC_FILES_SQL = with_base(
+    "SELECT n.node AS label, m.node AS scc FROM (SELECT x.a, min(x.b) AS b FROM rr x JOIN rr y ON x.a = y.b AND x.b = y.a GROUP BY x.a HAVING count(*) > 1) JOIN num n ON n.i = a JOIN num m ON m.i = b",
+    " num AS (SELECT node, row_number() OVER (ORDER BY node) AS i FROM own),"
+    " p AS MATERIALIZED (SELECT s.i AS a, t.i AS b FROM inner_deps JOIN num s ON s.node = source JOIN num t ON t.node = target),"
+    " rr(a, b) AS (SELECT i, i FROM num UNION SELECT rr.a, p.b FROM rr JOIN p ON rr.b = p.a)",
+    recursive=True,
+)
+
+
+def _file_pairs(spark, sf_dir) -> DataFrame:
+    return projection.project_edges(testdata.edges(spark, sf_dir), projection.per_internal_edge())
+
+
+@query("scc_files", SCC_FILES_SQL)
 def scc_files(spark, sf_dir):
-    """Components of the whole file graph, by label propagation."""
-    pairs = projection.project_edges(testdata.edges(spark, sf_dir), projection.per_internal_edge())
-    return strong_components(pairs)
+    """Components of the whole file graph."""
+    return strong_components(_file_pairs(spark, sf_dir))
+
+
+@query("scc_files_in_rounds", SCC_FILES_SQL)
+def scc_files_in_rounds(spark, sf_dir):
+    """The same by colour propagation alone, as graphs take it that are too large for one task."""
+    return strong_components(_file_pairs(spark, sf_dir), 0)
 
 
-@query("cyclic_components")
+@query(
+    "cyclic_components",
+    _scc_sql(3).replace("SELECT x.a AS label", "SELECT scc, string_agg(label, ',' ORDER BY label) AS members FROM (SELECT x.a AS label") + ") GROUP BY scc",
+)
 def cyclic(spark, sf_dir):
     return cyclic_components(_pairs(spark, sf_dir, 2)).select("scc", _joined("members").alias("members"))
 
