@@ -93,3 +93,12 @@ def test_iban_before_words_in_capitals_or_digits():
     assert ibans("ES92 2100 0418 4502 0005 1332 BANK") == [] and ibans(es[:-1] + " BANK") == []
     assert pii.redact(f"{es} BANK", pii.find_spans(f"{es} BANK")).endswith("> BANK")
     pii.find_spans("AB12 " * 40_000)
+
+
+def test_context_decides_for_local_numbers():
+    near, alone = "please call 415 555 0134 today", "order 415 555 0134 today"
+    assert [(x.kind, near[x.start : x.end], round(x.score, 1)) for x in pii.find_spans(near)] == [("phone_local", "415 555 0134", 0.6)]
+    assert pii.find_spans(alone) == [] and [x.kind for x in pii.find_spans(alone, 0.0)] == ["phone_local"]
+    # base spans stay whatever their score, and digits of other spans are no local number
+    assert [x.kind for x in pii.find_spans("tel +1 415 555 0134", 1.0)] == ["phone"]
+    assert pii.find_spans("tel 1.415.555.0134 and 415-555-01345 and v2.415-555-0134", 0.0) == []

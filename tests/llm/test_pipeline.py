@@ -4,6 +4,7 @@ import random
 import pytest
 
 pytest.importorskip("public_tokenizers")
+from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 import corpus_pipeline as C  # noqa: E402
@@ -50,6 +51,23 @@ def test_stages_keep_columns_and_stand_empty_tables(spark, make_docs):
     assert C.run(spark, d).count() == 0
 
 
+def test_columns_of_any_name_and_long_texts(spark, make_docs):
+    long = "é word " * 200_000
+    texts = ["some words of a text here", None, long, "12 34", long.replace("word", "WORD")]
+    own = {c: "double" for c in ("score", "lang_pred", "held_out", "n", "id", "key", "component_id", "kept", "similarity", "spans", "n_tokens", "ids_sha256")}
+    docs, d = make_docs(texts, langs=["en"] * 5, extra=own)
+    docs = docs.select(*[F.lit(0.25).alias(c) if c in own else F.col(c) for c in docs.columns])
+    spark.createDataFrame([(1, "some item text of a test here")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    for _, stage in C.STAGES[:-1]:
+        docs = stage(spark, docs, d)
+        assert set(own) < set(docs.columns) and {r[c] for r in docs.collect() for c in own} == {0.25}
+    out = C.tokens(spark, docs, d)
+    assert len(set(out.columns)) == len(out.columns)
+    assert {r.doc_id: (r.n_chars, r.score) for r in out.collect()} == {0: (25, 0.25), 2: (1_400_000, 0.25)}
+    lib = Tokenizer.from_file(tokenizer_path())
+    assert {r.doc_id: r.n_tokens for r in out.collect()} == {i: len(lib.encode(texts[i]).ids) for i in (0, 2)}
+
+
 def test_repeated_rows_and_missing_ids(spark, make_docs):
     docs, d = make_docs(["a b c d e f", "a b c d e f", "g h i j k l", None], ids=[4, 4, None, 5])
     assert sorted((r.doc_id or 0, r.text or "") for r in C.near_duplicates(spark, docs, d).collect()) == [(0, "g h i j k l"), (4, "a b c d e f"), (5, "")]

@@ -40,6 +40,8 @@ class Vocabulary:
             self.bytes[i] = s.encode() if s in special else bytes(to_byte[ch] for ch in s)
         for s, i in special.items():
             self.bytes[i] = s.encode()
+        if len(special) != 1:
+            raise ValueError(f"{path} has {len(special)} added tokens; files with one are supported")
         self.special, self.special_id = next(iter(special.items()))
         self.of_byte = [0] * 256
         for ch, b in to_byte.items():
@@ -128,12 +130,17 @@ def bpe_decode(ids: np.ndarray, path: str) -> str:
     return vocabulary(path).decode_bytes(ids).decode("utf-8", "replace")
 
 
+DIGESTS = ("n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def bpe_round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Encode, then decode; per row the number of ids and SHA-256 digests of the ids and of the decoded text.
 
     A null text counts as empty; ids joined by commas. Ids never leave the task. Columns named in keep stay beside
-    the digests, others are left out.
+    the digests, but those named like a digest give way to it; others are left out. Repeated rows are encoded each, very
+    long texts whole; an empty table gives no rows.
     """
+    keep = tuple(c for c in keep if c not in DIGESTS)
     kept = [f"keep_{k}" for k in range(len(keep))]
     schema = T.StructType(
         [

@@ -40,6 +40,8 @@ SHARPNESS = 3.0
 BLOCK_CHARS = 500_000
 #: Bound on the labelled rows fitted on, per language.
 PER_LANGUAGE = 300
+#: And on the characters of their texts together, per language; rows beyond it are not fitted on.
+LANGUAGE_CHARS = 4_000_000
 UNKNOWN = "und"
 
 
@@ -178,7 +180,11 @@ def fit(rows: list[tuple[str, str]]) -> LanguageModel:
 
 
 def labelled_sample(df: DataFrame, allowed, per_language: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """At most per_language rows of each language among the allowed ones with text and language, those with the least hash of their id."""
+    """At most per_language rows of each language among the allowed ones with text and language, those with the least hash of their id.
+
+    A row counts only while the texts up to it have at most LANGUAGE_CHARS characters together, so what comes to the
+    driver is bounded whatever the texts' lengths.
+    """
     able = df.where(allowed & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in able.groupBy(lang_col).count().collect()}
     if not counts:
@@ -188,7 +194,9 @@ def labelled_sample(df: DataFrame, allowed, per_language: int, id_col: str, text
     some = able.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"), F.col(id_col).alias("id"))
     some = some.where(F.col("draw") <= share[F.col("lang")])
     order = W.partitionBy("lang").orderBy("draw", "id", F.xxhash64("text"))
-    picked = some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
+    some = some.where(F.length("text") <= LANGUAGE_CHARS)
+    picked = some.withColumns({"k": F.row_number().over(order), "sum": F.sum(F.length("text")).over(order.rowsBetween(W.unboundedPreceding, 0))})
+    picked = picked.where((F.col("k") <= per_language) & (F.col("sum") <= LANGUAGE_CHARS))
     return [(r["lang"], r["text"]) for r in picked.orderBy("lang", "k").select("lang", "text").collect()]
 
 
@@ -197,17 +205,41 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
+def _fitted(df: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str):
+    """The model, sent to executors: 64 KB for each pair of families or of languages within one."""
+    model = fit(labelled_sample(df, ~held_out(id_col), per_language, id_col, text_col, lang_col))
+    return df.sparkSession.sparkContext.broadcast(model)
+
+
+def keep_known(df: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of df whose text has a predicted language, with all their columns, whatever these are named.
+
+    Texts that are null, empty or without letters go. All go if no row says its language to learn from.
+    """
+    bound_batches(df.sparkSession)
+    shared, at = _fitted(df, per_language, id_col, text_col, lang_col), df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                found = shared.value.predict([t or "" for t in b.column(at).to_pylist()])
+                yield b.filter(pa.array([x[0] != UNKNOWN for x in found], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def predict_languages(
     df: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
     """df plus held_out, lang_pred and score; columns of df with these names are replaced.
 
     Fitted on at most per_language rows a language that are not held out; every row is predicted from its whole text
-    alone. A text that is null or has no letter gets `und` and score 0, and so does everything if nothing is labelled.
+    alone, however long. A text that is null or has no letter gets `und` and score 0, and so does everything if nothing is
+    labelled. Of classes with as many wins the larger sum of margins decides, of equal sums the first by name. Repeated rows
+    are judged each; an empty table gives no rows.
     """
     df = df.select(*[c for c in df.columns if c not in ("held_out", "lang_pred", "score")])
-    model = fit(labelled_sample(df, ~held_out(id_col), per_language, id_col, text_col, lang_col))
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = _fitted(df, per_language, id_col, text_col, lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -13,8 +14,9 @@ from pyspark.sql import types as T
 from weftgraph.llm.common import bound_batches, map_texts
 
 #: Kinds in the order that breaks ties between spans that begin together; base kinds first.
-#: A card_part or phone_part is a valid number inside a longer run of digits that is none itself.
-KINDS = ("email", "ip", "card", "phone", "iban", "card_part", "phone_part")
+#: A card_part or phone_part is a valid number inside a longer run of digits that is none itself; a phone_local has no
+#: country code, so that only words nearby tell it from other numbers of that shape.
+KINDS = ("email", "ip", "card", "phone", "iban", "card_part", "phone_part", "phone_local")
 BASE = KINDS[:4]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -40,8 +42,10 @@ _IBAN_LENGTHS = {
 _GROUP = re.compile(r"[0-9]+")
 _PHONE_PART = re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])")
 
+_PHONE_LOCAL = re.compile(r"(?<![0-9A-Za-z+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])")
+
 #: Prior score of a proposed span whose validator agrees, and the words whose nearness raises it.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.5, "iban": 0.7, "card_part": 0.6, "phone_part": 0.5}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.5, "iban": 0.7, "card_part": 0.6, "phone_part": 0.5, "phone_local": 0.4}
 CONTEXT = {
     "email": ("email", "mail", "contact", "correo", "courriel"),
     "ip": ("ip", "address", "host", "server", "adresse"),
@@ -49,8 +53,10 @@ CONTEXT = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "telefono"),
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
 }
-CONTEXT |= {f"{k}_part": CONTEXT[k] for k in ("card", "phone")}
+CONTEXT |= {f"{k}_part": CONTEXT[k] for k in ("card", "phone")} | {"phone_local": CONTEXT["phone"]}
 CONTEXT_BONUS = 0.2
+#: Spans of added kinds need this score; base kinds are never dropped. So a phone_local needs a context word.
+MIN_SCORE = 0.5
 CONTEXT_CHARS = 40
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -165,12 +171,20 @@ def propose(text: str):
                 yield "phone_part", *part.span()
     for span in _ibans(text):
         yield "iban", *span
+    for m in _PHONE_LOCAL.finditer(text):
+        yield "phone_local", *m.span()
 
 
-def find_spans(text: str, min_score: float = 0.0) -> list[Span]:
-    """All spans of at least min_score by start, then kind. Base kinds are never dropped by their score."""
-    out = []
+def find_spans(text: str, min_score: float = MIN_SCORE) -> list[Span]:
+    """All spans by start, then kind. Those of added kinds have at least min_score and, a phone_local, no other span's digits."""
+    out: list[Span] = []
+    taken: list[tuple[int, int]] | None = None
     for kind, s, e in propose(text):
+        if kind == "phone_local":  # these come last
+            taken = sorted((x.start, x.end) for x in out if x.kind != kind) if taken is None else taken
+            k = bisect_left(taken, (e,))
+            if any(end > s for _, end in taken[max(0, k - len(KINDS)) : k]):
+                continue
         near = text[max(0, s - CONTEXT_CHARS) : s] + " " + text[e : e + CONTEXT_CHARS]
         words = {w.lower() for w in _WORD.findall(near)}
         score = min(1.0, PRIOR[kind] + (CONTEXT_BONUS if words.intersection(CONTEXT[kind]) else 0.0))
@@ -197,8 +211,9 @@ SPAN_SCHEMA = "array<struct<kind:string,start:int,end:int,score:double>>"
 def pii_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id, spans (kind, start, end in code points, end exclusive, score), redacted text.
 
-    A null text counts as empty and is redacted to null; an empty text has no spans. Ties and repeated
-    rows are judged row by row. Other columns are left out.
+    A null text counts as empty and is redacted to null; an empty text has no spans. Spans that begin together stand in
+    the order of KINDS; repeated rows are judged each. A very long text is searched whole, in time in proportion to its
+    length. Other columns are left out, so their names may be any. An empty table gives no rows.
     """
     schema = T.StructType(
         [
@@ -225,7 +240,9 @@ def pii_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def redact_rows(df: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
-    """df with personal data in its texts replaced by marks; every row and column stays, null texts too.
+    """df with personal data in its texts replaced by marks; every row and column stays, whatever its name, null texts too.
+
+    Empty texts and empty tables stay as they are; repeated rows are judged each, very long texts whole.
 
     length_col, if given, becomes the length of the new text in code points where the text has changed.
     """
@@ -252,11 +269,12 @@ def redact_rows(df: DataFrame, text_col: str = "text", length_col: str | None =
 
 
 def spans_digest(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts of the base kinds, the digest of the base spans and the joined list of all spans."""
+    """Counts of the base kinds, the digest of the base spans, the joined list of all spans and that of their scores."""
     said = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     n = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    scores = F.array_join(F.transform("spans", lambda x: F.format_number(x["score"], 1)), ",").alias("scores")
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE))
-    return df.select(id_col, *[n(k) for k in BASE], F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+    return df.select(id_col, *[n(k) for k in BASE], F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"), scores)
 
 
 __all__ = ["Span", "find_spans", "luhn", "mod97", "pii_spans", "redact", "spans_digest"]

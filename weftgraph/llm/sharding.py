@@ -19,21 +19,55 @@ from pyspark.sql import functions as F
 
 #: Blocks counted in the first pass; the blocks in use are a power of two up to this.
 FINE_BLOCKS = 2048
-#: numpy's exact sampler refuses larger populations.
-EXACT_LIMIT = 1_000_000_000
+#: numpy's sampler refuses larger populations; from there on ratio_of_uniforms draws.
+NUMPY_LIMIT = 1_000_000_000
 
 
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """Exact below EXACT_LIMIT; beyond it the normal limit, rounded into the support."""
-    if n == 0 or good == 0:
-        return 0
-    if good + bad < EXACT_LIMIT:
-        return int(rng.hypergeometric(good, bad, n))
+def _log_factorial_step(n: int, d: int) -> float:
+    """log((n + d)! / n!) - d * log(n + 1/2), without the cancellation that large logarithms of factorials have."""
+    if min(n, n + d) < 200:
+        said = math.lgamma(n + d + 1) - math.lgamma(n + 1)
+        return said - d * math.log(n + 0.5)
+    # Gosper's and Stirling's series about n + 1/2: log n! = (x log x - x) + c - 1 / (24 x) + 7 / (2880 x**3), x = n + 1/2
+    x = n + 0.5
+    y = x + d
+    return y * math.log1p(d / x) - d - (1 / y - 1 / x) / 24 + 7 * (y**-3 - x**-3) / 2880
+
+
+def ratio_of_uniforms(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """A hypergeometric draw (Stadlober, 1990) for populations of any size, to double precision.
+
+    A point falls uniformly into a rectangle that holds the region u**2 <= p(a + v / u) / p(mode); what lies in the region is
+    kept. Probabilities relative to the mode are sums of four steps of factorials, whose large parts cancel exactly.
+    """
     total = good + bad
-    mean = n * (good / total)
-    var = mean * (bad / total) * ((total - n) / max(1, total - 1))
+    if n == 0 or good == 0 or bad == 0 or n == total:
+        return 0 if good == 0 else min(n, good)
     low, high = max(0, n - bad), min(n, good)
-    return int(min(high, max(low, round(rng.normal(mean, math.sqrt(max(0.0, var)))))))
+    mode = ((n + 1) * (good + 1)) // (total + 2)
+    mean = n * good / total
+    var = mean * (bad / total) * ((total - n) / max(1, total - 1))
+    width = math.sqrt(8 / math.e) * math.sqrt(var + 0.5) + 3 - 2 * math.sqrt(3 / math.e)
+    bases = (mode, good - mode, n - mode, bad - n + mode)
+    slope = math.log(((good - mode + 0.5) / (mode + 0.5)) * ((n - mode + 0.5) / (bad - n + mode + 0.5)))
+    while True:
+        u, v = rng.random(), rng.random()
+        if not u:
+            continue
+        k = math.floor(mean + 0.5 + width * (v - 0.5) / u)
+        if not low <= k <= high:
+            continue
+        d = k - mode
+        shifts = (d, -d, -d, d)
+        log_p = d * slope - sum(_log_factorial_step(b, s) for b, s in zip(bases, shifts))
+        if 2 * math.log(u) <= log_p:
+            return k
+
+
+def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    if max(good, bad) < NUMPY_LIMIT:
+        return int(rng.hypergeometric(good, bad, n)) if n and good else 0
+    return ratio_of_uniforms(rng, good, bad, n)
 
 
 def communication_matrix(counts: list[int], capacities: list[int], seed: int) -> np.ndarray:
@@ -44,7 +78,7 @@ def communication_matrix(counts: list[int], capacities: list[int], seed: int) ->
     room = np.array(capacities, np.int64)
     matrix = np.zeros((len(counts), len(capacities)), np.int64)
     for p, n in enumerate(counts):
-        if int(room.sum()) < EXACT_LIMIT:
+        if int(room.sum()) < NUMPY_LIMIT:
             row = rng.multivariate_hypergeometric(room, n, method="marginals")
         else:
             row, left, rest = np.zeros(len(room), np.int64), n, int(room.sum())
@@ -68,7 +102,7 @@ def hypergeometric_shards(
 
     keys name the columns that tell rows apart; blocks and permutations come from their seeded hashes,
     so a task that runs again gives the same rows. Rows equal in all keys are interchangeable.
-    Nulls in keys hash like any value. An empty table gives no rows. Columns of df named shard or
+    Nulls in keys hash like any value; long texts are hashed whole. An empty table gives no rows. Columns of df named shard or
     slot are replaced. Slots of a shard are gapless from 0.
     """
     if shards < 1:
@@ -96,9 +130,12 @@ def hypergeometric_shards(
     matrix = communication_matrix(counts, capacities, seed)
     ends = np.cumsum(matrix, axis=1)
     # The matrix as a literal table: a row for each block, with the ends of its stretch for each bin.
-    cells = "[" + ",".join(f'{{"p":{p},"e":{row.tolist()}}}'.replace(" ", "") for p, row in enumerate(ends)) + "]"
-    deal = spark.range(1).select(F.explode(F.from_json(F.lit(cells), "array<struct<p:int,e:array<bigint>>>")).alias("x"))
-    deal = deal.select(F.col("x.p").alias(block), F.col("x.e").alias("__weft_ends"))
+    # Every step-th end goes beside them, so that a row looks its bin up in two short lists.
+    step = max(1, math.isqrt(ends.shape[1]))
+    said = [f'{{"p":{p},"e":{row.tolist()},"c":{row[step - 1 :: step].tolist()}}}'.replace(" ", "") for p, row in enumerate(ends)]
+    cells = "[" + ",".join(said) + "]"
+    deal = spark.range(1).select(F.explode(F.from_json(F.lit(cells), "array<struct<p:int,e:array<bigint>,c:array<bigint>>>")).alias("x"))
+    deal = deal.select(F.col("x.p").alias(block), F.col("x.e").alias("__weft_ends"), F.col("x.c").alias("__weft_coarse"))
     firsts = F.array(*[F.lit(x).cast("long") for x in first])
 
     local = W.partitionBy(block).orderBy(draw, *keys)
@@ -107,7 +144,9 @@ def hypergeometric_shards(
         .withColumn(rank, F.row_number().over(local) - 1)
         .join(F.broadcast(deal), block)  # at most FINE_BLOCKS rows of FINE_BLOCKS longs
     )
-    dealt = ranked.withColumn(bin_, F.expr(f"size(filter(__weft_ends, e -> e <= {rank}))"))
+    whole = f"size(filter(__weft_coarse, e -> e <= {rank})) * {step}"
+    fine_part = f"size(filter(slice(__weft_ends, __weft_whole + 1, {step}), e -> e <= {rank}))"
+    dealt = ranked.withColumn("__weft_whole", F.expr(whole)).withColumn(bin_, F.expr(f"__weft_whole + {fine_part}"))
     again = W.partitionBy(bin_).orderBy(draw, *keys)
     return (
         dealt.withColumn(draw, hashed(3))
