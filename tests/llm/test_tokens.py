@@ -67,6 +67,53 @@ def test_transducer_counts(chunk, texts, lib):
     assert machine.counts([t.encode() for t in plain], chunk).tolist() == want
 
 
+def unbroken(kind, n, seed=5):
+    """Long texts without blanks, in which no place tells the state by itself."""
+    rng = random.Random(seed)
+    letters = {
+        "cjk": "漢字仮名交文章例中国人大地天水火山川日月",
+        "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+        "words": None,
+        "one": "a",
+        "two": "ab",
+        "blank": " ",
+        "accents": "éàüßñ",
+        "digits": "0123456789",
+        "quotes": "'s",
+        "thai": "กขคงจฉชซ",
+    }[kind]
+    if letters is None:
+        return "".join(rng.choice(["the", "ing", "house", "red", "Able", "tion"]) for _ in range(n // 4))
+    return "".join(rng.choice(letters) for _ in range(n))
+
+
+@pytest.mark.parametrize("kind", ["cjk", "base64", "words", "one", "two", "blank", "accents", "digits", "quotes", "thai"])
+def test_transducer_on_texts_without_landmarks(kind, lib):
+    machine = transducer.transducer(PATH)
+    texts = [unbroken(kind, n) for n in (1, 700, 5000, 20_000)]
+    want = [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
+    for chunk, block in ((64, 3000), (768, 10**6), (7, 10**6)):
+        assert machine.counts([t.encode() for t in texts], chunk, block).tolist() == want, (chunk, block)
+
+
+def test_scan_of_maps():
+    rng = np.random.default_rng(4)
+    n, k = 60, 4
+    goes, adds = rng.integers(-1, k, (n, k)), rng.integers(0, 9, (n, k))
+    goes[rng.random(n) < 0.7] = np.abs(goes[rng.random(n) < 0.7][0])
+    first = rng.random(n) < 0.1
+    first[0] = True
+    at, total = transducer.scan(goes, adds, first)
+    state = here = 0
+    for c in range(n):
+        if first[c]:
+            state = here = 0
+        if state >= 0:
+            here += adds[c, state]
+            state = goes[c, state]
+        assert at[c] == state and (state < 0 or total[c] == here)
+
+
 def test_transducer_starts_anew(lib):
     machine = transducer.CountTransducer(bpe.vocabulary(PATH), state_limit=5)
     for t in ("hello world", "other words", "'tis  1999!"):

@@ -9,10 +9,12 @@ last token before it, and how many tokens later the encoding now is; a transitio
 the prefix's token count. Around that lie the pre-tokeniser's modes. States are interned, so runs
 need array gathers only.
 
-A text is cut into chunks. From a place on where a visible ASCII byte meets ASCII white space, the
-state no longer depends on what came before, so a chunk's state map is: its head (run from whatever
-state enters), then a constant (exit state, count). All bodies run side by side, then all heads from
-their left neighbour's exit, in rounds where a chunk is head alone; counts compose by summing.
+A text is cut into chunks. A chunk's state map says for each of some entry states in which state the chunk is left and
+how many tokens it adds. The first entry state of a chunk is a guess: the state that a run from shortly before the chunk
+arrives at, since states soon forget where a run began. All maps are made side by side; neighbours are then composed
+pairwise in a segmented parallel prefix scan, in as many steps as the logarithm of the number of chunks. Where an exit is
+no entry of the next map yet, it becomes one, again for all chunks side by side, until the composition from each text's
+first state is defined. So counts are exact whatever the guesses, and need no blanks or other landmarks in the text.
 """
 
 from __future__ import annotations
@@ -30,8 +32,14 @@ from weftgraph.llm.common import blocks_of, map_texts
 from weftgraph.llm.pretokens import LETTER, OTHER, SPACE, class_table
 
 CHUNK_BYTES = 768
-BLOCK_BYTES = 4_000_000
-#: States after which the compiled tables are dropped and begun anew, which bounds their memory.
+#: Bytes before a chunk from which its first entry state is guessed.
+LOOKBACK = 48
+#: Entry states that a map holds at most; beyond them the last one is replaced.
+ENTRIES = 8
+#: Texts are run in blocks of so many bytes, a longer one piece by piece.
+BLOCK_BYTES = 2_000_000
+#: States after which the compiled tables are dropped and begun anew before the next block. A block adds at most one state
+#: for each of its bytes and entry states, commonly under one in a hundred.
 STATE_LIMIT = 400_000
 
 
@@ -227,46 +235,107 @@ class CountTransducer:
         out_state[order], out_count[order] = state, count
         return out_state, out_count
 
-    def counts(self, texts: list[bytes], chunk_bytes: int = CHUNK_BYTES) -> np.ndarray:
+    def counts(self, texts: list[bytes], chunk_bytes: int = CHUNK_BYTES, block_bytes: int = BLOCK_BYTES) -> np.ndarray:
         """Tokens of each text (no special strings inside)."""
-        out = [np.empty(0, np.int64)]
-        for a, b in blocks_of([len(t) for t in texts], BLOCK_BYTES):
-            if len(self.states) > self.limit:
-                self.reset()
-            out.append(self._block(texts[a:b], chunk_bytes))
-        return np.concatenate(out)
-
-    def _block(self, texts: list[bytes], chunk_bytes: int) -> np.ndarray:
+        out = np.zeros(len(texts), np.int64)
+        for a, b in blocks_of([len(t) for t in texts], block_bytes):
+            state = self.states[self.START]
+            for at in range(0, len(texts[a]), block_bytes) if b == a + 1 else [None]:
+                if len(self.states) > self.limit:
+                    self.reset()
+                pieces = texts[a:b] if at is None else [texts[a][at : at + block_bytes]]
+                n, exits = self._block(pieces, self.intern(state), chunk_bytes)
+                out[a:b] += n
+                state = self.states[exits[-1]]
+        return out
+
+    def _block(self, texts: list[bytes], start: int, chunk_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, exit state) of each text run from the state start."""
         data = np.frombuffer(b"".join(texts), np.uint8)
         size = np.array([len(t) for t in texts], np.int64)
         per = -(-size // chunk_bytes)
-        if not int(per.sum()):
-            return np.zeros(len(texts), np.int64)
-        begin = np.cumsum(size) - size
-        first_chunk = np.cumsum(per) - per
-        doc = np.repeat(np.arange(len(texts)), per)
-        nth = np.arange(len(doc)) - first_chunk[doc]
+        exits, total = np.full(len(texts), start, np.int64), np.zeros(len(texts), np.int64)
+        some = np.flatnonzero(per)
+        if not len(some):
+            return total, exits
+        begin = (np.cumsum(size) - size)[some]
+        size, per = size[some], per[some]
+        last = np.cumsum(per) - 1
+        doc = np.repeat(np.arange(len(some)), per)
+        nth = np.arange(len(doc)) - (last + 1 - per)[doc]
         lo = begin[doc] + nth * chunk_bytes
         hi = np.minimum(lo + chunk_bytes, (begin + size)[doc])
-        blank = (data == 0x20) | (data == 0x0A) | (data == 0x0D) | (data == 0x09)
-        sync = np.flatnonzero(blank[1:] & ~blank[:-1] & (data[:-1] > 0x20) & (data[:-1] < 0x7F)) + 1
-        # Where each chunk's head ends: at its first place of known state behind its first byte, or nowhere.
-        where = np.searchsorted(sync, lo + 1)
-        meet = np.where(where < len(sync), sync[np.minimum(where, max(0, len(sync) - 1))] if len(sync) else 0, hi)
-        meet = np.where(nth == 0, lo, np.minimum(meet, hi))
-        fixed = meet < hi  # its map is constant behind the head
-        exits, counts = np.full(len(lo), -1, np.int64), np.zeros(len(lo), np.int64)
-        body = np.flatnonzero(fixed)
-        exits[body], counts[body] = self.lanes(data, np.full(len(body), self.START), meet[body], hi[body])
-        todo = np.flatnonzero(nth > 0)
-        while len(todo):
-            ready = exits[todo - 1] >= 0
-            now = todo[ready]
-            state, n = self.lanes(data, exits[now - 1], lo[now], meet[now])
-            counts[now] += n
-            exits[now] = np.where(fixed[now], exits[now], state)
-            todo = todo[~ready]
-        return np.bincount(doc, counts, len(texts)).astype(np.int64)
+        first = nth == 0
+        entry, out, adds = self._maps(data, start, begin[doc], lo, hi, first)
+        while True:
+            goes = self._matches(entry, out, first)
+            reached, sums = scan(goes, adds, first)
+            before = np.concatenate([[0], reached[:-1]])
+            before[first] = 0  # the entry that is taken, or -1 where it is not known yet
+            if (before >= 0).all():
+                break
+            entry, out, adds = self._widened(data, entry, out, adds, goes, before, lo, hi, first)
+        exits[some] = out[last, before[last]]
+        total[some] = sums[last]
+        return total, exits
+
+    def _maps(self, data, start, begin, lo, hi, first) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Entry states, exit states and counts of all chunks, a column for each entry: here the guessed one."""
+        back = np.maximum(lo - LOOKBACK, begin)
+        for _ in range(3):  # to where a character begins
+            back += (back < lo) & (back > begin) & ((data[np.minimum(back, len(data) - 1)] & 0xC0) == 0x80)
+        origin = np.where(back == begin, start, self.START)
+        entry, _ = self.lanes(data, origin, back, lo)
+        entry[first] = start
+        out, adds = self.lanes(data, entry, lo, hi)
+        return entry[:, None], out[:, None], adds[:, None]
+
+    @staticmethod
+    def _matches(entry: np.ndarray, out: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """For each exit its place among the next chunk's entries; -1 if it is none, 0 at the end of a text."""
+        goes = np.zeros(out.shape, np.int64)
+        same = out[:-1, :, None] == entry[1:, None, :]
+        goes[:-1] = np.where(same.any(axis=2), same.argmax(axis=2), -1)
+        goes[:-1][first[1:]] = 0
+        goes[out < 0] = -1
+        return goes
+
+    def _widened(self, data, entry, out, adds, goes, before, lo, hi, first) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Another entry for each chunk that is left of undefined: its left neighbour's exit, the one that is taken if that is known."""
+        left = np.arange(len(lo) - 1)
+        known = before[:-1] >= 0
+        k = np.where(known, np.maximum(before[:-1], 0), (goes[:-1] < 0).argmax(axis=1))
+        need = np.flatnonzero((goes[left, k] < 0) & (out[left, k] >= 0) & ~first[1:])
+        state = out[need, k[need]]
+        if entry.shape[1] == ENTRIES:  # only for those that are certainly taken, or maps would change each other for ever
+            need, state = need[known[need]], state[known[need]]
+        else:
+            blank = np.full((len(lo), 1), -1, np.int64)
+            entry, out, adds = (np.concatenate([x, blank], axis=1) for x in (entry, out, adds))
+        chunk = need + 1
+        entry[chunk, -1] = state
+        out[chunk, -1], adds[chunk, -1] = self.lanes(data, state, lo[chunk], hi[chunk])
+        return entry, out, adds
+
+
+def scan(goes: np.ndarray, adds: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Segmented prefix scan of maps: for each chunk, where entry 0 of its text's first chunk has led behind it, and the sum on the way.
+
+    goes[c, k] and adds[c, k] are chunk c's map of its k-th entry; -1 is undefined. In step d each chunk's map, which covers
+    d chunks by then, is composed with that of the d chunks before.
+    """
+    goes, adds, done = goes.copy(), adds.copy(), first.copy()
+    d = 1
+    while d < len(goes) and not done.all():
+        now = np.flatnonzero(~done[d:]) + d
+        via, far = goes[now - d], goes[now]
+        sums = adds[now - d] + np.take_along_axis(adds[now], np.maximum(via, 0), axis=1)
+        far = np.where(via < 0, -1, np.take_along_axis(far, np.maximum(via, 0), axis=1))
+        ended = done[now - d]
+        goes[now], adds[now] = far, sums
+        done[now] = ended
+        d *= 2
+    return goes[:, 0], adds[:, 0]
 
 
 @lru_cache(2)
@@ -278,7 +347,8 @@ def token_counts(df: DataFrame, path: str, limit: int = 1024, id_col: str = "doc
     """One row per row: id, n_bytes, n_tokens, over_limit (more than limit tokens).
 
     A null text counts as empty: 0 bytes, 0 tokens. The special string counts as one token and parts what
-    stands on its sides. Other columns are left out.
+    stands on its sides. Very long texts are run piece by piece; repeated rows are counted each. An empty table gives no
+    rows. Other columns are left out, so their names may be any.
     """
     schema = T.StructType(
         [
