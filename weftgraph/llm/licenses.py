@@ -44,11 +44,17 @@ TEMPLATES = (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
         "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
-    (
-        "bsd-clauses", "BSD-3-Clause",
+    (  # opens the licenses of two, three and four clauses alike
+        "bsd-opening", "LicenseRef-BSD",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met:",
     ),
+    (
+        "bsd-endorsement", "BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission.",
+    ),
+    ("unlicense-opening", "Unlicense", "This is free and unencumbered software released into the public domain."),
     (
         "isc-permission", "ISC",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
