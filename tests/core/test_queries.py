@@ -9,6 +9,7 @@ SF = "/root/testdata/sf0.001"
 SOME = (
     "canonical_edges", "select_files_path", "project_nodes", "depend_on_files_should", "external_should_not", "layer_policy",
     "diagram_adherence", "distance_metrics", "lcom4", "focus_2", "snapshot_edges", "circuits_regions",
+    "go_graph", "go_file_metrics", "go_classes", "report_dot", "report_csv", "report_json",
 )
 
 

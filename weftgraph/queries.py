@@ -18,7 +18,7 @@ from weftgraph.plans.layers import project_layers
 from weftgraph.plans.metrics import metrics
 from weftgraph.plans.slices import project_slices
 from weftgraph.sinks import render
-from weftgraph.sources import testdata
+from weftgraph.sources import goproject, testdata
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -654,6 +654,128 @@ def report_table(spark, sf_dir):
     return render.tables(project_graph(testdata.edges(spark, sf_dir)).collapse_to_folder_depth(3).snapshot())
 
 
+DRAWN_LABEL = "CASE WHEN {0} LIKE 'catalog/%' THEN 'catalog' ELSE array_to_string(string_split({0}, '/')[1:2], '/') END"
+DRAWN_SQL = (
+    f" nd AS (SELECT label, x, 'n' || (row_number() OVER (ORDER BY label) - 1) AS id FROM (SELECT label, bool_and(external) AS x FROM (SELECT {DRAWN_LABEL.format('node')} AS label, false AS external FROM own"
+    f" UNION ALL SELECT {DRAWN_LABEL.format('target')}, true FROM deps WHERE external) GROUP BY label)),"
+    f" ed AS (SELECT a, b, count(*) AS n, bool_or(external) AS x, bit_or(import_kinds) AS k FROM (SELECT {DRAWN_LABEL.format('source')} AS a, {DRAWN_LABEL.format('target')} AS b, external, import_kinds FROM deps) WHERE a <> b GROUP BY a, b),"
+    " said AS (SELECT concat_ws(', ', CASE WHEN k & 1 <> 0 THEN 'plain' END, CASE WHEN k & 2 <> 0 THEN 'aliased' END, CASE WHEN k & 4 <> 0 THEN 'blank' END) AS kinds, a, b FROM ed),"
+    " counts AS (SELECT (SELECT count(*) FROM nd) || ' nodes, ' || count(*) || ' edges, ' || sum(n) || ' dependencies, 1 external node, ' || count(*) FILTER (WHERE x) || ' external edge' || CASE WHEN count(*) FILTER (WHERE x) = 1 THEN '' ELSE 's' END AS c FROM ed)"
+)
+
+
+def _drawn_sql(head: list[str], node: str, edge: str, tail: list[str] = [], between: list[str] = []) -> str:
+    """Lines of a drawing: SQL of the lines before nodes, of a node's line, of those between, of an edge's and of those after."""
+    fixed = lambda part, lines: [f"SELECT {part} AS part, '{i:03}' AS p, '' AS q, {x} AS line FROM counts" for i, x in enumerate(lines)]
+    rows = fixed(0, head) + [f"SELECT 1 AS part, label AS p, '' AS q, {node} AS line FROM nd"] + fixed(2, between)
+    rows += [f"SELECT 3 AS part, ed.a AS p, ed.b AS q, {edge} AS line FROM ed JOIN said USING (a, b) JOIN nd s ON s.label = a JOIN nd t ON t.label = b"] + fixed(4, tail)
+    return with_base(f"SELECT CAST(row_number() OVER (ORDER BY part, p, q) AS INTEGER) AS line_no, line FROM ({' UNION ALL '.join(rows)})", DRAWN_SQL)
+
+
+def _drawing(spark, sf_dir) -> render.Drawn:
+    g = project_graph(testdata.edges(spark, sf_dir)).including_external_dependencies().collapse_to_folder_depth(2)
+    return render.drawn(g.collapse_by_pattern("catalog", "catalog/**").titled('"trade" <2>').snapshot())
+
+
+def _drawn(name: str, make, oracle: str, keep=lambda line: True) -> None:
+    """A drawing as rows: its lines and their numbers."""
+
+    @query(name, oracle)
+    def run(spark, sf_dir, make=make, keep=keep):
+        lines = [x for x in make(_drawing(spark, sf_dir)).removesuffix("\n").split("\n") if keep(x)]
+        return spark.createDataFrame(list(enumerate(lines, 1)), "line_no int, line string")
+
+
+TAB = "chr(9)"
+TITLE = r"""'\"trade\" <2>'"""
+_drawn(
+    "report_dot", render.dot,
+    _drawn_sql(
+        [f"'digraph \"' || {TITLE} || '\" {{'", f"{TAB} || 'rankdir=LR;'", f"{TAB} || 'labelloc=t;'", f"{TAB} || 'label=\"' || {TITLE} || '\\n' || c || '\";'", f"{TAB} || 'node [shape=box];'"],
+        f"{TAB} || '\"' || label || '\" [label=\"' || label || '\"' || CASE WHEN x THEN ', style=dashed' ELSE '' END || '];'",
+        f"{TAB} || '\"' || a || '\" -> \"' || b || '\"' || CASE WHEN n > 1 OR ed.x THEN ' [' || concat_ws(', ', CASE WHEN n > 1 THEN 'label=\"' || n || '\"' END, CASE WHEN ed.x THEN 'style=dashed' END) || ']' ELSE '' END || ';'",
+        ["'}'"],
+    ),
+)
+_drawn(
+    "report_mermaid", render.mermaid,
+    _drawn_sql(
+        ["'%% \"trade\" <2>'", "'%% ' || c", "'flowchart LR'"],
+        f"{TAB} || id || CASE WHEN x THEN '([\"' || label || '\"])' ELSE '[\"' || label || '\"]' END",
+        f"{TAB} || s.id || ' -->' || CASE WHEN n > 1 THEN '|' || n || '|' ELSE '' END || ' ' || t.id",
+    ),
+)
+_drawn(
+    "report_d2", render.d2,
+    _drawn_sql(
+        ["'# \"trade\" <2>'", "'# ' || c", "'direction: right'"],
+        "id || ': {label: \"' || label || '\"' || CASE WHEN x THEN '; style.stroke-dash: 3' ELSE '' END || '}'",
+        "s.id || ' -> ' || t.id || CASE WHEN n > 1 THEN ': \"' || n || '\"' ELSE '' END",
+    ),
+)
+_drawn(
+    "report_csv", render.csv,
+    _drawn_sql(
+        ["'kind,source,target,dependencies,external,import kinds'"], "'node,' || label || ',,,' || x || ','",
+        "'edge,' || a || ',' || b || ',' || n || ',' || ed.x || ',' || CASE WHEN contains(kinds, ',') THEN '\"' || kinds || '\"' ELSE kinds END",
+    ),
+)
+CELL = "'</td><td>'"
+_drawn(
+    "report_page", render.page,
+    _drawn_sql(
+        ["'<h1>&#34;trade&#34; &lt;2&gt;</h1>'", "'<p class=\"summary\">' || c || '</p>'", "'<tr><th>label</th><th>external</th></tr>'"],
+        f"'<tr><td>' || label || {CELL} || CASE WHEN x THEN 'external' ELSE '' END || '</td></tr>'",
+        f"'<tr><td>' || a || {CELL} || b || {CELL} || n || {CELL} || CASE WHEN ed.x THEN 'external' ELSE '' END || {CELL} || kinds || '</td></tr>'",
+        between=["'<tr><th>source</th><th>target</th><th>dependencies</th><th>external</th><th>import kinds</th></tr>'"],
+    ),
+    lambda line: line.startswith(("<h1", "<p ", "<tr>")),
+)
+
+
+@query("report_json", with_base(
+    "SELECT label AS source, NULL AS target, NULL AS dependencies, x AS external, NULL AS import_kinds FROM nd UNION ALL SELECT a, b, n, x, kinds FROM ed JOIN said USING (a, b)", DRAWN_SQL
+))
+def report_json(spark, sf_dir):
+    """The document read back: its nodes and edges."""
+    kind = "nodes array<struct<label:string,external:boolean>>, edges array<struct<source:string,target:string,dependencies:bigint,external:boolean,importKinds:array<string>>>"
+    d = spark.createDataFrame([(render.json(_drawing(spark, sf_dir)),)], "said string").select(F.from_json("said", kind).alias("d")).select("d.*")
+    nodes = d.select(F.inline("nodes")).selectExpr("label AS source", "CAST(NULL AS string) AS target", "CAST(NULL AS bigint) AS dependencies", "external", "CAST(NULL AS string) AS import_kinds")
+    edges = d.select(F.inline("edges")).select("source", "target", "dependencies", "external", F.array_join("importKinds", ", ").alias("import_kinds"))
+    return nodes.unionByName(edges)
+
+
+# --- Go sources
+
+
+@query("go_graph", with_base(
+    "SELECT replace(source, '.go', '/main.go') AS source, file AS target, false AS external, import_kinds FROM inner_deps JOIN f ON target = path UNION ALL "
+    "SELECT replace(source, '.go', '/main.go'), target, true, import_kinds FROM deps WHERE external AND NOT regexp_matches(target, '^catalog/Brand#1[12]/') UNION ALL SELECT file, file, false, 0 FROM f",
+    " f AS (SELECT path, replace(path, '.go', '/main.go') AS file FROM cust UNION ALL SELECT path, replace(path, '.go', '/main.go') FROM supp UNION ALL SELECT path, replace(path, '.go', '/debts.go') FROM supp WHERE s_acctbal < 0)",
+))
+def go_graph(spark, sf_dir):
+    """Go files parsed, constraints and directives obeyed, imports resolved to the files of packages."""
+    return goproject.graph_of_files(testdata.go_files(spark, sf_dir), testdata.MODULE, goproject.SourceOptions(scopes=("audit",))).select(*graph.COLUMNS)
+
+
+@query("go_file_metrics", with_base(
+    "SELECT path, directory, 3 + CASE WHEN interface THEN nm ELSE nf END AS lines_of_code, 0 AS statement_count, 0 AS import_count, 0 AS function_count FROM cl UNION ALL "
+    "SELECT replace(path, '.go', '_orders.go'), directory, 1 + 2 * nm + a + 3 * nf, a + nf, 0, nf FROM cl WHERE NOT interface AND nm > 0", CLASS_SQL,
+))
+def go_file_metrics(spark, sf_dir):
+    """Counts of parsed Go files: a method is no function."""
+    return goproject.measured_files(testdata.go_classes(spark, sf_dir))[0]
+
+
+@query("go_classes", with_base(
+    "SELECT identifier, path, interface, CASE WHEN interface THEN 0 ELSE nf END AS field_count, nm AS method_count, CASE WHEN interface THEN 0 ELSE a END AS accesses FROM cl", CLASS_SQL
+))
+def go_classes(spark, sf_dir):
+    c = goproject.measured_files(testdata.go_classes(spark, sf_dir))[1]
+    total = F.aggregate("fields", F.lit(0), lambda n, f: n + F.size(f["accessed_by"]))
+    return c.select("identifier", "path", "interface", "field_count", "method_count", total.alias("accesses"))
+
+
 @query("hyperlinks", "SELECT url AS source, target, target NOT IN (SELECT url FROM pages) AS external FROM (SELECT DISTINCT url, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS target FROM pages) WHERE url <> target")
 def hyperlinks(spark, sf_dir):
     return graph.dependencies(testdata.hyperlinks(spark, sf_dir)).select("source", "target", "external")

@@ -115,6 +115,55 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"field_count": F.size("fields"), "method_count": F.size("methods")})
 
 
+MODULE = "shop.example/trade"
+
+
+def _package(path: Column) -> Column:
+    return F.regexp_replace(path, "[.]go$", "")
+
+
+def go_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph written as Go: identifier, text. Every customer and supplier is a package with a main.go that imports what it depends on.
+
+    A supplier in debt has a second file in the build and two that are not, one for tests and one for another system. Imports
+    of the brands 11 to 13 bear a directive: to ignore them, to do so in an audit, and to do so later.
+    """
+    e = edges(spark, sf_dir)
+    path = F.when(F.col("external"), F.col("target")).otherwise(F.concat(F.lit(MODULE + "/"), _package(F.col("target"))))
+    named = [F.when(F.col("import_kinds").bitwiseAND(F.lit(bit)) != 0, F.lit(name)) for bit, name in ((1, ""), (2, "partner "), (4, "_ "))]
+    said = F.when(F.col("target").startswith("catalog/Brand#11/"), " //weftgraph:ignore").when(
+        F.col("target").startswith("catalog/Brand#12/"), " //weftgraph:ignore audit // not now"
+    ).when(F.col("target").startswith("catalog/Brand#13/"), " //weftgraph:ignore later").otherwise("")
+    line = e.select("source", path.alias("path"), said.alias("said"), F.explode(F.array_compact(F.array(F.lit(None).cast("string"), *named))).alias("name"))
+    line = line.select("source", F.concat(F.lit("\t"), "name", F.lit('"'), "path", F.lit('"'), "said").alias("line"))
+    block = line.groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("block"))
+    text = F.concat(F.lit('// Trade. import "nothing"\npackage trade\n\nimport (\n'), F.coalesce("block", F.lit("")), F.lit('\n)\n\nvar said = `\nimport "nothing"`\n'))
+    own = customers(spark, sf_dir).select(F.col("path").alias("source")).union(suppliers(spark, sf_dir).select("path"))
+    main = own.join(block, "source", "left").select(F.concat(_package(F.col("source")), F.lit("/main.go")).alias("identifier"), text.alias("text"))
+    others = F.explode(F.array(*map(F.lit, ("debts.go", "debts_test.go", "debts_windows.go"))))
+    owing = suppliers(spark, sf_dir).where("s_acctbal < 0").select("path", others.alias("name"))
+    owing = owing.select(F.concat(_package(F.col("path")), F.lit("/"), "name").alias("identifier"))
+    more = owing.withColumn("text", F.when(F.col("identifier").endswith("/debts.go"), "package trade\n").otherwise('package trade\n\nimport "os"\n'))
+    return main.unionByName(more)
+
+
+def go_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes written as Go: identifier, text. A type's methods stand in a second file of its folder, an accessed field is set; a field also has a function there."""
+    each = lambda items, said: F.array_join(F.transform(items, said), "")
+    lit = F.lit
+    c = classes(spark, sf_dir)
+    fields = each(F.col("fields"), lambda f: F.concat(lit("\t"), f["name"], lit(" int // a partner\n")))
+    asked = each(F.col("methods"), lambda m: F.concat(lit("\t"), m["name"], lit("()\n")))
+    kind = F.when(F.col("interface"), F.concat(lit(" interface {\n"), asked)).otherwise(F.concat(lit(" struct {\n"), fields))
+    types = F.concat(lit("package trade\n\n/* One\ntype */\ntype "), "name", kind, lit("}\n"))
+    body = lambda m: each(m["accessed_fields"], lambda f: F.concat(lit("\tc."), f, lit(" = 1\n")))
+    funcs = each(F.col("methods"), lambda m: F.concat(lit("\nfunc (c *"), F.col("name"), lit(") "), m["name"], lit("() {\n"), body(m), lit("}\n")))
+    plain = each(F.col("fields"), lambda f: F.concat(lit("func pay_"), f["name"], lit("() {\n\tsettle()\n}\n")))
+    one = c.select(F.col("path").alias("identifier"), types.alias("text"))
+    two = c.where(~F.col("interface") & (F.size("methods") > 0)).select(F.concat(_package(F.col("path")), lit("_orders.go")), F.concat(lit("package trade\n"), funcs, plain))
+    return one.union(two)
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as text files: path, name, extension, directory, source, non_blank_line_count."""
     d = table(spark, sf_dir, "documents")
