@@ -100,30 +100,35 @@ class Layers(Stage):
         options = options_or_default(options)
         return logged(self, options, lambda log: self._judge(options, log))
 
-    def _judge(self, options: CheckOptions, log: Logger | None = None) -> DataFrame:
+    def tally(self, options: CheckOptions | None = None) -> DataFrame:
+        """check() with the number of edges behind a pair, n, in place of their list: no row holds a pair's edges."""
+        return self._judge(options_or_default(options), listed=False)
+
+    def _judge(self, options: CheckOptions, log: Logger | None = None, listed: bool = True) -> DataFrame:
         edges = self._edges(options)
         if not self.clauses:
             raise UserError("a policy needs a clause")
         own = graph.own_nodes(edges).withColumn("layer", layer_of(F.col("node"), self.layers))
         asked = [Population(f'files in layer "{n}"', str(s), own, F.coalesce(F.col("layer") == n, F.lit(False))) for n, s in self.layers]
         if (empty := guard(asked, options)) is not None:
-            return empty
+            return empty if listed else report.tallied(empty)
         spark = edges.sparkSession
         # What a pair of layers breaks follows from the policy alone, so edges meet the broken pairs before they are
         # gathered. There are at most as many pairs as the user declared layers, squared.
         broken = F.broadcast(spark.createDataFrame(self._broken(), "source_label string, target_label string, mood string, named array<string>"))
-        hits = gathered(apart(self.mapping()).apply(edges).join(broken.select("source_label", "target_label"), ["source_label", "target_label"]), cumulate=True)
+        hits = gathered(apart(self.mapping()).apply(edges).join(broken.select("source_label", "target_label"), ["source_label", "target_label"]), cumulate=listed)
         first = hits.join(broken, ["source_label", "target_label"])
         progress(log, "pairs of layers that break a clause", first)
-        return report.violations(
-            first,
-            report.LAYER_DEPENDENCY,
-            subject=F.col("source_label"),
-            object=F.col("target_label"),
-            mood=F.when(F.col("mood") == NOT, "should not").otherwise("should"),
-            members=F.col("named"),
-            dependencies=F.transform("cumulated", lambda x: F.struct(x["source"].alias("source"), x["target"].alias("target"))),
-        )
+        said = {
+            "subject": F.col("source_label"),
+            "object": F.col("target_label"),
+            "mood": F.when(F.col("mood") == NOT, "should not").otherwise("should"),
+            "members": F.col("named"),
+        }
+        if not listed:
+            return report.tallies(first, report.LAYER_DEPENDENCY, F.col("count"), **said)
+        behind = F.transform("cumulated", lambda x: F.struct(x["source"].alias("source"), x["target"].alias("target")))
+        return report.violations(first, report.LAYER_DEPENDENCY, dependencies=behind, **said)
 
     def _broken(self) -> list[tuple[str, str, str, list[str]]]:
         """For each pair of layers the clause that an edge between them breaks: the first prohibition, else the first permission."""

@@ -159,22 +159,29 @@ class SliceDependencyRule:
         options = options_or_default(options)
         return logged(self, options, lambda log: self._judge(options, log))
 
-    def _judge(self, options: CheckOptions, log: Logger | None = None) -> DataFrame:
+    def tally(self, options: CheckOptions | None = None) -> DataFrame:
+        """check() with the number of edges behind a pair, n, in place of their list: no row holds a pair's edges."""
+        return self._judge(options_or_default(options), listed=False)
+
+    def _judge(self, options: CheckOptions, log: Logger | None = None, listed: bool = True) -> DataFrame:
         edges = self.slices._edges(options)
         members = self.slices._members(edges)
         said = self.slices.slicing.said
         if (empty := guard([Population("slices", said, members)], options)) is not None:
-            return empty
+            return empty if listed else report.tallied(empty)
         named = [Population(f'files in slice "{n}"', said, members, F.col("slice") == n) for n in (self.source, self.target)]
         if (empty := guard(named, options)) is not None:
-            return empty
+            return empty if listed else report.tallied(empty)
         progress(log, "slices found", members.select("slice").distinct())
         mapping = self.slices.slicing.mapping()
         pair = (mapping.source == self.source) & (mapping.target == self.target)
-        found = project_edges(edges, replace(mapping, where=mapping.where & pair), cumulate=True)
+        found = project_edges(edges, replace(mapping, where=mapping.where & pair), cumulate=listed)
         # one row whether the pair is there or not
         one = edges.sparkSession.range(1).join(found, F.lit(True), "left").where(~self.mood.holds(F.col("source_label").isNotNull()))
-        return report.violations(one, report.SLICE_DEPENDENCY, subject=self.source, object=self.target, mood=str(self.mood), dependencies=_behind())
+        said = {"subject": self.source, "object": self.target, "mood": str(self.mood)}
+        if not listed:
+            return report.tallies(one, report.SLICE_DEPENDENCY, F.col("count"), **said)
+        return report.violations(one, report.SLICE_DEPENDENCY, dependencies=_behind(), **said)
 
     def __str__(self) -> str:
         return f'{self.slices}, {self.mood}, contain dependency "{self.source}" -> "{self.target}"' if not self.slices.error else str(self.slices)
@@ -200,12 +207,16 @@ class DiagramRule:
         options = options_or_default(options)
         return logged(self, options, lambda log: self._judge(options, log))
 
-    def _judge(self, options: CheckOptions, log: Logger | None = None) -> DataFrame:
+    def tally(self, options: CheckOptions | None = None) -> DataFrame:
+        """check() with the number of edges behind a pair, n, in place of their list: no row holds a pair's edges."""
+        return self._judge(options_or_default(options), listed=False)
+
+    def _judge(self, options: CheckOptions, log: Logger | None = None, listed: bool = True) -> DataFrame:
         edges = self.slices._edges(options)
         diagram = self.diagram or read_diagram(self.path)
         members = self.slices._members(edges)
         if (empty := guard([Population("slices", self.slices.slicing.said, members)], options)) is not None:
-            return empty
+            return empty if listed else report.tallied(empty)
         spark = edges.sparkSession
         declared = F.broadcast(spark.createDataFrame([(c,) for c in diagram.components], "name string"))  # what a diagram draws
         drawn = F.broadcast(spark.createDataFrame(list(diagram.dependencies), "source_label string, target_label string"))
@@ -213,19 +224,21 @@ class DiagramRule:
         between = apart(self.slices.slicing.mapping()).apply(edges)
         ends = declared.select(F.col("name").alias("source_label")), declared.select(F.col("name").alias("target_label"))
         undrawn = between.join(ends[0], "source_label", "left_semi").join(ends[1], "target_label", "left_semi")
-        undrawn = gathered(undrawn.join(drawn, ["source_label", "target_label"], "left_anti"), cumulate=True)
-        found = report.violations(
-            undrawn, report.SLICE_DIAGRAM, subject=F.col("source_label"), object=F.col("target_label"), mood="should", finding=report.UNDRAWN, dependencies=_behind()
-        )
+        undrawn = gathered(undrawn.join(drawn, ["source_label", "target_label"], "left_anti"), cumulate=listed)
+        said = {"subject": F.col("source_label"), "object": F.col("target_label"), "mood": "should", "finding": report.UNDRAWN}
+        if listed:
+            found, rows = report.violations(undrawn, report.SLICE_DIAGRAM, dependencies=_behind(), **said), report.violations
+        else:
+            found, rows = report.tallies(undrawn, report.SLICE_DIAGRAM, F.col("count"), **said), lambda df, kind, **more: report.tallies(df, kind, F.lit(None), **more)
         present = members.select("slice").distinct()
         extra = present.join(declared, F.col("slice") == F.col("name"), "left_anti")
         if self.skip_orphans:
             tied = between.select(F.explode(F.array("source_label", "target_label")).alias("tied")).distinct()
             extra = extra.join(tied, F.col("slice") == F.col("tied"), "left_semi")
-        found = found.unionByName(report.violations(extra, report.SLICE_DIAGRAM, subject=F.col("slice"), mood="should", finding=report.UNDECLARED))
+        found = found.unionByName(rows(extra, report.SLICE_DIAGRAM, subject=F.col("slice"), mood="should", finding=report.UNDECLARED))
         if not self.skip_absent:
             gone = spark.createDataFrame([(c,) for c in diagram.components], "name string").join(present, F.col("name") == F.col("slice"), "left_anti")
-            found = found.unionByName(report.violations(gone, report.SLICE_DIAGRAM, subject=F.col("name"), mood="should", finding=report.ABSENT))
+            found = found.unionByName(rows(gone, report.SLICE_DIAGRAM, subject=F.col("name"), mood="should", finding=report.ABSENT))
         return found
 
     def __str__(self) -> str:
