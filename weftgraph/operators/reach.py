@@ -27,7 +27,7 @@ def reach(edges: DataFrame, seeds: DataFrame, towards: str, depth: int | None =
     if depth is not None and depth <= 0:
         return seeds
     scratch = Scratch(edges.sparkSession)
-    links = scratch.write(links_of(edges, towards).distinct())
+    links = scratch.write(links_of(edges, towards))  # each round's step is distinct, so links need not be
     frontier = scratch.write(seeds)
     visited = [frontier]
     done = 0
