@@ -5,9 +5,14 @@ import os
 from pyspark.sql import functions as F
 
 from weftgraph import queries
+from weftgraph.operators import components as C
+from weftgraph.operators import projection
 from weftgraph.operators.graph import create_edges
+from weftgraph.operators.reach import FORWARD, reach
 from weftgraph.plans.layers import project_layers
 from weftgraph.plans.slices import project_slices
+from weftgraph.sources import goproject, testdata
+from weftgraph.storage import Scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +48,73 @@ def test_queries_that_count_gather_no_edges(spark):
     if os.path.isdir(SF):
         for name in ("layer_policy", "slice_dependency", "diagram_adherence"):
             assert "collect_list" not in plan(queries.QUERIES[name](spark, SF)), name
+
+
+def test_counts_and_components_gather_no_members(spark):
+    if os.path.isdir(SF):
+        for name in ("components", "custom_metric", "satisfaction"):
+            text = plan(queries.QUERIES[name](spark, SF))
+            assert "order_" not in text and "accessed_by" not in text, name
+        assert "lineitem" not in plan(testdata.class_heads(spark, SF)) and "l_orderkey" not in plan(testdata.class_heads(spark, SF))
+
+
+def test_edges_are_dealt_by_numbers(spark):
+    """Lines meet their customer once, by its key, for the merge and the join alike."""
+    if os.path.isdir(SF):
+        assert "RepartitionByExpression [o_custkey" in plan(testdata.edges(spark, SF))
+
+
+def test_labels_are_evaluated_once(spark):
+    e = trade(spark)
+    slow = F.regexp_replace("source", "/.*", ""), F.regexp_replace("target", "/.*", "")
+    pairs = projection.project_edges(e, projection.Mapping(*slow))
+    assert plan(pairs).count("/.*") == 2
+    assert sorted(tuple(r) for r in pairs.collect()) == [("a", "b", 3), ("b", "c", 1), ("c", "a", 1)]
+
+
+def test_plain_imports_agree_with_the_parser():
+    head = "// x import \"no\"\n\npackage trade // y\n\nimport (\n"
+    plain = head + '\t"a/b"\n\t_ "c" //weftgraph:ignore\n  . "d"   // not\n\tñ "e" //weftgraph:ignore audit // later\n)\n\nvar x = `\nimport "z"`\n'
+    assert goproject._plain_imports(plain, goproject.DIRECTIVE) == goproject._parsed_imports(plain, goproject.DIRECTIVE)
+    assert len(goproject.imports_of(plain)) == 4
+    for odd in (
+        head + '\t//weftgraph:ignore\n\t"a"\n)\n', head + '\t"a"; "b"\n)\n', head + '\t"a"\n)\nimport "b"\n', head + '\t/* " */ "a"\n)\n', head + '\tfunc "a"\n)\n',
+        "package p\nimport `a`\n", "/* import (\n*/package p\nimport (\n\t\"a\"\n)\n", head + '\t"a"\n', "",
+    ):
+        assert goproject._plain_imports(odd, goproject.DIRECTIVE) is None
+        assert goproject.imports_of(odd) == goproject._parsed_imports(odd, goproject.DIRECTIVE)
+
+
+def test_go_tables_leave_no_cache(spark):
+    files = spark.createDataFrame([("a/x.go", "package a\n\ntype T struct {\n\tn int\n}\n"), ("a/y.go", "package a\n\nfunc (t *T) Set() {\n\tt.n = 1\n}\n")], "identifier string, text string")
+    counted, classes = goproject.measured_files(files)
+    made = goproject.graph_of_files(files, "m")
+    assert "InMemoryRelation" not in plan(counted) + plan(classes) + plan(made)
+    assert [(r.name, r.method_count, r.fields[0].accessed_by) for r in classes.collect()] == [("T", 1, ["Set"])]
+
+
+def test_circuits_search_no_more_components_than_are_needed(spark):
+    """The list is filled by the first components, so the others are never enumerated."""
+    rows = [(f"{k:02}{a}", f"{k:02}{b}") for k in range(12) for a, b in ("ab", "ba", "bc", "cb", "ac", "ca")]
+    pairs = spark.createDataFrame(rows, "source_label string, target_label string")
+    found = C.project_circuits(pairs, 7)
+    assert {x[:2] for r in found.circuits.collect() for x in r.labels} == {"00", "01"}
+    assert found.circuits.count() == 7 and not found.complete.first()[0]
+    whole = C.project_circuits(pairs, 1000)
+    assert whole.circuits.count() == 12 * 5 and whole.complete.first()[0]
+
+
+def test_large_graphs_go_by_numbers(spark):
+    pairs = spark.createDataFrame([("b", "a"), ("a", "b"), ("z", "é"), ("é", "z"), ("a", "z"), ("q", "a")], "source_label string, target_label string")
+    got = C.strong_components(pairs, 0)
+    assert [f.dataType.simpleString() for f in got.schema] == ["string", "string"]
+    assert sorted(map(tuple, got.collect())) == [("a", "a"), ("b", "a"), ("z", "z"), ("é", "z")]
+
+
+def test_reach_writes_links_without_a_merge(spark, monkeypatch):
+    written = []
+    write = Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df: written.append(plan(df)) or write(self, df))
+    found = reach(trade(spark).select("source", "target"), spark.createDataFrame([("b/y1.go",)], "node string"), FORWARD)
+    assert written[0].count("Aggregate") == 1  # the test graph's own merge
+    assert sorted(r.node for r in found.collect()) == ["a/x1.go", "b/y1.go", "b/y2.go", "c/z.go"]
