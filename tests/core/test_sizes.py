@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftgraph import queries
 from weftgraph.operators import components as C
-from weftgraph.operators import projection
+from weftgraph.operators import graph, projection
 from weftgraph.operators.graph import create_edges
 from weftgraph.operators.reach import FORWARD, reach
 from weftgraph.plans.layers import project_layers
@@ -118,3 +118,13 @@ def test_reach_writes_links_without_a_merge(spark, monkeypatch):
     found = reach(trade(spark).select("source", "target"), spark.createDataFrame([("b/y1.go",)], "node string"), FORWARD)
     assert written[0].count("Aggregate") == 1  # the test graph's own merge
     assert sorted(r.node for r in found.collect()) == ["a/x1.go", "b/y1.go", "b/y2.go", "c/z.go"]
+
+
+def test_a_merge_can_be_dealt_and_cleans_each_end_once(spark):
+    rows = [(" a\\x/../y ", "b//c", False, 1), ("a/y", "b/c", False, 2), ("a/y", " ext ", True, 4), ("a/y", "a/y", True, 8), ("", "b", False, 1)]
+    raw = spark.createDataFrame(rows, "source string, target string, external boolean, import_kinds int")
+    want = [("a/y", "a/y", False, 0), ("a/y", "b/c", False, 3), ("a/y", "ext", True, 4)]
+    for parts in (0, 3):
+        assert sorted(map(tuple, graph.canonical(raw, parts=parts).collect())) == want
+    text = plan(graph.canonical(raw, parts=3))
+    assert "RepartitionByExpression" in text and "Filter" in text.split("Generate")[0]

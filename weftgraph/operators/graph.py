@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import kinds
 from weftgraph.functions.identifiers import normalize, normalized
+from weftgraph.operators.projection import labelled
 
 SCHEMA = "source string, target string, external boolean, import_kinds int"
 COLUMNS = ("source", "target", "external", "import_kinds")
@@ -25,14 +26,17 @@ def create_edges(spark: SparkSession, rows) -> DataFrame:
     return canonical(spark.createDataFrame(made, SCHEMA))
 
 
-def canonical(edges: DataFrame, normalize_ids: bool = True) -> DataFrame:
+def canonical(edges: DataFrame, normalize_ids: bool = True, parts: int = 0) -> DataFrame:
     """Identifiers normalised (an external target stays as written), empty ends dropped, parallel edges merged.
 
-    A self-edge declares a node and carries neither kinds nor a mark. Partial aggregation merges before the shuffle.
+    A self-edge declares a node and carries neither kinds nor a mark. Partial aggregation merges before the shuffle; with
+    parts, for edges of which few are parallel, all are dealt into so many and merged there, so a task's share stays small.
     """
     e = edges.select("source", "target", "external", "import_kinds")
     if normalize_ids:
-        e = e.withColumns({"source": normalized(F.col("source")), "target": F.when(F.col("external"), F.trim("target")).otherwise(normalized(F.col("target")))})
+        target = F.when(F.col("external"), F.trim("target")).otherwise(normalized(F.col("target")))
+        e = labelled(e, clean_source=normalized(F.col("source")), clean_target=target)
+        e = e.select(F.col("clean_source").alias("source"), F.col("clean_target").alias("target"), "external", "import_kinds")
     e = e.where((F.col("source") != "") & (F.col("target") != ""))
     own = F.col("source") == F.col("target")
     e = e.select(
@@ -41,13 +45,15 @@ def canonical(edges: DataFrame, normalize_ids: bool = True) -> DataFrame:
         (F.coalesce("external", F.lit(False)) & ~own).alias("external"),
         F.when(own, F.lit(0)).otherwise(F.coalesce("import_kinds", F.lit(0))).alias("import_kinds"),
     )
+    if parts:
+        e = e.repartition(parts, "source", "target")
     return e.groupBy("source", "target").agg(
         F.bool_or("external").alias("external"), F.bit_or("import_kinds").cast("int").alias("import_kinds")
     )
 
 
-def add(edges: DataFrame, more: DataFrame) -> DataFrame:
-    return canonical(edges.select(*COLUMNS).unionByName(more.select(*COLUMNS)))
+def add(edges: DataFrame, more: DataFrame, parts: int = 0) -> DataFrame:
+    return canonical(edges.select(*COLUMNS).unionByName(more.select(*COLUMNS)), parts=parts)
 
 
 def nodes(edges: DataFrame) -> DataFrame:
