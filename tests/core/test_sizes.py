@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftgraph import queries
 from weftgraph.operators import components as C
-from weftgraph.operators import graph, projection
+from weftgraph.operators import graph, metrics as M, projection
 from weftgraph.operators.graph import create_edges
 from weftgraph.operators.reach import FORWARD, reach
 from weftgraph.plans.layers import project_layers
@@ -128,3 +128,43 @@ def test_a_merge_can_be_dealt_and_cleans_each_end_once(spark):
         assert sorted(map(tuple, graph.canonical(raw, parts=parts).collect())) == want
     text = plan(graph.canonical(raw, parts=3))
     assert "RepartitionByExpression" in text and "Filter" in text.split("Generate")[0]
+
+
+def test_components_by_number_agree_with_those_by_path(spark):
+    """Numbers without a file, ends outside the choice, repeated pairs and links within a folder make no dependency."""
+    ones = spark.createDataFrame([(1, "a/x1.go"), (2, "a/x2.go"), (2, "c/x2.go"), (3, "b/x3.go"), (5, "root.go"), (6, "d/gone.go")], "a long, path string")
+    others = spark.createDataFrame([(1, "b/y1.go"), (2, "e/y2.go"), (4, "a/y4.go"), (7, "f/gone.go")], "b long, path string")
+    rows = [(1, 1, True, False), (1, 1, True, True), (2, 2, False, True), (2, 2, False, False), (3, 1, True, True), (1, 4, True, True), (5, 2, True, False), (6, 1, True, True)]
+    rows += [(3, 7, True, True), (9, 1, True, True), (1, 9, True, True), (None, 1, True, True), (1, None, True, True), (3, 2, False, False)]
+    pairs = spark.createDataFrame(rows, "a long, b long, there boolean, back boolean")
+    left, right = {}, {}
+    for side, found in ((ones, left), (others, right)):
+        for number, path in side.collect():
+            found.setdefault(number, []).append(path)
+    made = [e for a, b, t, k in rows for p in left.get(a, []) for q in right.get(b, []) for e, on in (((p, q), t), ((q, p), k)) if on]
+    paths = sorted({p for side in (left, right) for ps in side.values() for p in ps if "gone" not in p})
+    files = spark.createDataFrame([(p, p.rpartition("/")[0] or ".") for p in paths], "path string, directory string")
+    kinds = spark.createDataFrame([(p, p.endswith("1.go")) for p in paths], "path string, interface boolean")
+    edges = create_edges(spark, [(p, p) for p in paths] + made)
+    seen = lambda df: sorted(map(tuple, df.collect()))
+    got = seen(M.components(edges, files, kinds, M.Links(pairs, ones, others)))
+    assert got == seen(M.components(edges, files, kinds))
+    want = {p.rpartition("/")[0] or ".": (set(), set()) for p in paths}
+    for p, q in made:
+        if p in paths and q in paths and p.rpartition("/")[0] != q.rpartition("/")[0]:
+            want[p.rpartition("/")[0] or "."][0].add(q.rpartition("/")[0] or ".")
+            want[q.rpartition("/")[0] or "."][1].add(p.rpartition("/")[0] or ".")
+    assert {r[0]: (set(r[3]), set(r[4])) for r in got} == want and all(len(x) == len(set(x)) for r in got for x in r[3:])
+
+
+def test_components_of_the_tables_meet_no_edge_by_path(spark):
+    if os.path.isdir(SF):
+        for name in ("components", "distance_metrics"):
+            text = plan(queries.QUERIES[name](spark, SF))
+            assert "(source#" not in text and "(target#" not in text, name
+
+
+def test_components_follow_an_edge_once(spark):
+    files = spark.createDataFrame([(f"{d}/{n}.go", d) for d in "ab" for n in "xy"], "path string, directory string")
+    text = plan(M.components(trade(spark), files, files.selectExpr("path", "true as interface")))
+    assert text.count("LeftSemi, (source#") == 1 == text.count("LeftSemi, (target#")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions.identifiers import folder
 from weftgraph.functions.patterns import Selection
 from weftgraph.operators import graph
-from weftgraph.operators.projection import Mapping, project_edges
+from weftgraph.operators.projection import labelled
 
 D = "double"
 
@@ -25,31 +25,62 @@ class Subjects:
     components: DataFrame
 
 
-def components(edges: DataFrame, files: DataFrame, classes: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Links:
+    """The dependencies between two kinds of files by numbers, for a source that has them: no paths are shuffled for each edge.
+
+    pairs (a, b, there, back) may repeat and are best dealt by a; there says that the file of a depends on that of b, back
+    the reverse. ones (a, path) and others (b, path) say which file a number is; a pair without them is no dependency.
+    """
+
+    pairs: DataFrame
+    ones: DataFrame
+    others: DataFrame
+
+
+def _folders_of_links(links: Links, chosen: DataFrame) -> DataFrame:
+    """source_label, target_label of links between chosen files; the files are chosen before the links are joined."""
+    place = lambda df, key, label: df.join(chosen, "path", "left_semi").select(key, folder(F.col("path")).alias(label))
+    merged = [F.bool_or("there").alias("there"), F.bool_or("back").alias("back")]
+    met = links.pairs.join(place(links.ones, "a", "one"), "a").join(place(links.others, "b", "other"), "b")
+    met = met.groupBy("one", "other").agg(*merged)
+    way = lambda when, s, t: F.when(F.col(when), F.struct(F.col(s).alias("source_label"), F.col(t).alias("target_label")))
+    ways = F.array_compact(F.array(way("there", "one", "other"), way("back", "other", "one")))
+    return met.select(F.inline(ways))
+
+
+def _folders_of_edges(edges: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The same of edges between paths. Once its source is found chosen, an edge is told from others by its source's folder alone."""
+    inner = edges.where(~F.col("external") & (F.col("source") != F.col("target"))).where(folder(F.col("source")) != folder(F.col("target")))
+    of_chosen = inner.select("source", "target").join(chosen, F.col("source") == F.col("path"), "left_semi")
+    seen = labelled(of_chosen, source_label=folder(F.col("source"))).select("source_label", "target").distinct()
+    return seen.join(chosen, F.col("target") == F.col("path"), "left_semi").select("source_label", folder(F.col("target")).alias("target_label"))
+
+
+def components(edges: DataFrame, files: DataFrame, classes: DataFrame, links: Links | None = None) -> DataFrame:
     """label, classes, interfaces, depends_on, depended_on_by: a row for each folder with a selected file.
 
-    Class counts are over all classes of the selected files; dependencies over edges with both ends selected.
+    Class counts are over all classes of the selected files; dependencies over edges with both ends selected. With links
+    these stand for the dependencies of edges.
     """
     f = files.select("path", F.col("directory").alias("label"))
     counts = f.join(classes.select("path", "interface"), "path", "left").groupBy("label").agg(
         F.count("interface").cast("int").alias("classes"), F.count_if("interface").cast("int").alias("interfaces")
     )
-    inner = edges.where(~F.col("external") & (F.col("source") != F.col("target")))
-    inner = inner.where(folder(F.col("source")) != folder(F.col("target")))
     chosen = f.select("path")
-    inner = inner.join(chosen, inner["source"] == chosen["path"], "left_semi").join(chosen, inner["target"] == chosen["path"], "left_semi")
-    pairs = project_edges(inner, Mapping(folder(F.col("source")), folder(F.col("target"))))
-    out = pairs.groupBy("source_label").agg(F.array_sort(F.collect_set("target_label")).alias("depends_on"))
-    back = pairs.groupBy("target_label").agg(F.array_sort(F.collect_set("source_label")).alias("depended_on_by"))
+    pairs = _folders_of_links(links, chosen) if links else _folders_of_edges(edges, chosen)
+    pairs = pairs.where("source_label <> '' and target_label <> '' and source_label <> target_label").distinct()
+    # One row for each end of each pair, so both directions are gathered in one grouping.
+    end = lambda label, to, of: F.struct(F.col(label).alias("folder"), to.cast("string").alias("to"), of.cast("string").alias("of"))
+    ends = pairs.select(F.inline(F.array(end("source_label", F.col("target_label"), F.lit(None)), end("target_label", F.lit(None), F.col("source_label")))))
+    met = ends.groupBy("folder").agg(F.array_sort(F.collect_list("to")).alias("depends_on"), F.array_sort(F.collect_list("of")).alias("depended_on_by"))
     none = F.array().cast("array<string>")
-    return (
-        counts.join(out, F.col("label") == F.col("source_label"), "left")
-        .join(back, F.col("label") == F.col("target_label"), "left")
-        .select("label", "classes", "interfaces", F.coalesce("depends_on", none).alias("depends_on"), F.coalesce("depended_on_by", none).alias("depended_on_by"))
+    return counts.join(met, F.col("label") == F.col("folder"), "left").select(
+        "label", "classes", "interfaces", F.coalesce("depends_on", none).alias("depends_on"), F.coalesce("depended_on_by", none).alias("depended_on_by")
     )
 
 
-def select_subjects(edges: DataFrame, files: DataFrame, classes: DataFrame, file_scope: Selection, class_scope: Selection) -> Subjects:
+def select_subjects(edges: DataFrame, files: DataFrame, classes: DataFrame, file_scope: Selection, class_scope: Selection, links: Links | None = None) -> Subjects:
     """With class selectors, files narrow to those that declare a selected class, and components follow the files."""
     own = graph.own_nodes(edges).where(file_scope.column(F.col("node"))).select(F.col("node").alias("path"))
     kept_files = files.where(file_scope.column(F.col("path"))).join(own, "path", "left_semi")
@@ -58,7 +89,7 @@ def select_subjects(edges: DataFrame, files: DataFrame, classes: DataFrame, file
     if class_scope:
         kept_classes = of_files.where(class_scope.column(F.col("identifier")))
         kept_files = kept_files.join(kept_classes.select("path").distinct(), "path", "left_semi")
-    return Subjects(kept_files, kept_classes, components(edges, kept_files, classes))
+    return Subjects(kept_files, kept_classes, components(edges, kept_files, classes, links))
 
 
 def with_class_counts(files: DataFrame, classes: DataFrame) -> DataFrame:

@@ -24,11 +24,12 @@ FILE, CLASS, COMPONENT = "file", "class", "component"
 
 @dataclass(frozen=True)
 class Metrics(Stage):
-    """files and classes are DataFrames, or functions of the check's options that give them."""
+    """files and classes are DataFrames, or functions of the check's options that give them. links say the edges by number."""
 
     files: DataFrame | Callable | None = field(default=None, repr=False, compare=False)
     classes: DataFrame | Callable | None = field(default=None, repr=False, compare=False)
     scope: Selection = Selection()
+    links: M.Links | None = field(default=None, repr=False, compare=False)
 
     def _selecting(self, verb: str, make: Callable[[], Filter]) -> Metrics:
         return self._try(verb, lambda: replace(self, scope=self.scope.add(make())))
@@ -73,7 +74,7 @@ class Metrics(Stage):
         of = lambda x: x if isinstance(x, DataFrame) else x(options)
         files, classes = of(self.files), of(self.classes)
         split = lambda want: Selection(tuple(f for f in self.scope.filters if (f.target == "classname") == want))
-        return M.select_subjects(edges, files, classes, split(False), split(True))
+        return M.select_subjects(edges, files, classes, split(False), split(True), self.links)
 
     def count(self) -> Group:
         return Group(self, "count", {**{k: (FILE, k) for k in M.FILE_COUNTS}, **{k: (CLASS, k) for k in M.CLASS_COUNTS}})
@@ -95,8 +96,8 @@ class Metrics(Stage):
         return said + (f" (rejected: {self.error})" if self.error else "")
 
 
-def metrics(edges, files: DataFrame, classes: DataFrame, patterns=None) -> Metrics:
-    return Metrics(source=edges, files=files, classes=classes, **({"patterns": patterns} if patterns else {}))
+def metrics(edges, files: DataFrame, classes: DataFrame, patterns=None, links: M.Links | None = None) -> Metrics:
+    return Metrics(source=edges, files=files, classes=classes, links=links, **({"patterns": patterns} if patterns else {}))
 
 
 def row_measure(fn: Callable) -> Callable:
