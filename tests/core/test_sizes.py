@@ -159,7 +159,7 @@ def test_components_by_number_agree_with_those_by_path(spark):
 
 def test_components_of_the_tables_meet_no_edge_by_path(spark):
     if os.path.isdir(SF):
-        for name in ("components", "distance_metrics"):
+        for name in ("components", "distance_metrics", "zone_of_pain", "zone_of_uselessness"):
             text = plan(queries.QUERIES[name](spark, SF))
             assert "(source#" not in text and "(target#" not in text, name
 

@@ -317,8 +317,10 @@ class ZoneRule:
         return logged(self, options, lambda log: self._judge(options, log))
 
     def _judge(self, options: CheckOptions, log: Logger | None = None) -> DataFrame:
-        found = self.metrics.subjects(options).components
-        if (empty := guard([Population("components", str(self.metrics.scope), found)], options)) is not None:
+        subjects = self.metrics.subjects(options)
+        found = subjects.components
+        # A folder with a selected file is a component: the check looks at files, so no dependencies are followed for it.
+        if (empty := guard([Population("components", str(self.metrics.scope), subjects.files)], options)) is not None:
             return empty
         progress(log, "components", found)
         return report.violations(
