@@ -9,6 +9,7 @@ from weftgraph.operators import components as C
 from weftgraph.operators import graph, metrics as M, projection
 from weftgraph.operators.graph import create_edges
 from weftgraph.operators.reach import FORWARD, reach
+from weftgraph.plans import metrics as rules_on_metrics
 from weftgraph.plans.layers import project_layers
 from weftgraph.plans.slices import project_slices
 from weftgraph.sources import goproject, testdata
@@ -168,3 +169,30 @@ def test_components_follow_an_edge_once(spark):
     files = spark.createDataFrame([(f"{d}/{n}.go", d) for d in "ab" for n in "xy"], "path string, directory string")
     text = plan(M.components(trade(spark), files, files.selectExpr("path", "true as interface")))
     assert text.count("LeftSemi, (source#") == 1 == text.count("LeftSemi, (target#")
+
+
+def test_empty_checks_of_metrics_compute_no_measure(spark, monkeypatch):
+    """A rule on counts or folders is known not to be empty without the order lines."""
+    if os.path.isdir(SF):
+        looked = []
+        monkeypatch.setattr(rules_on_metrics, "guard", lambda populations, options: looked.extend(populations))
+        for name in ("custom_metric", "satisfaction", "threshold_below", "zone_of_pain", "zone_of_uselessness"):
+            queries.QUERIES[name](spark, SF)
+        assert len(looked) == 5
+        for p in looked:
+            assert "l_orderkey" not in plan(p.rows.select()), p
+
+
+def test_members_are_counted_in_one_pass(spark, tmp_path):
+    """Lines repeat suppliers and orders, lack a supplier, or have no order; a customer has no lines."""
+    text = {
+        "region": "0 r_regionkey, 'ASIA' r_name", "nation": "0 n_nationkey, 'CHINA' n_name, 0 n_regionkey",
+        "customer": "explode(array(1L, 2L, 3L)) c_custkey, 0 c_nationkey, 'X' c_mktsegment", "supplier": "1L s_suppkey, 0 s_nationkey, 1D s_acctbal",
+        "orders": "inline(array((10L, 1L, 'F'), (11L, 1L, 'F'), (12L, 2L, 'O'))) as (o_orderkey, o_custkey, o_orderstatus)",
+        "lineitem": "inline(array((10L, 7L, 'A'), (10L, 7L, 'R'), (10L, 11L, 'A'), (11L, 7L, 'N'), (12L, null, 'A'), (99L, 7L, 'A'))) as (l_orderkey, l_suppkey, l_returnflag)",
+    }
+    for name, said in text.items():
+        spark.sql(f"select {said}").write.parquet(f"{tmp_path}/{name}.parquet")
+    counts = testdata.class_counts(spark, str(tmp_path))
+    assert "Expand" not in plan(counts)
+    assert sorted((r.name, r.method_count, r.field_count) for r in counts.collect()) == [("Customer_1", 2, 2), ("Customer_2", 1, 0), ("Customer_3", 0, 0), ("Supplier_1", 0, 0)]

@@ -254,7 +254,9 @@ class _MetricRule:
     def _guarded(self, options: CheckOptions) -> tuple[M.Subjects, DataFrame, DataFrame | None]:
         subjects = self.metric.metrics.subjects(options)
         measured = self.metric._measured(subjects)
-        return subjects, measured, guard([Population("measurements", str(self.metric.metrics.scope), measured)], options)
+        # A measurement for each subject: the check looks at these, so what is measured is not computed for it.
+        rows = {FILE: subjects.files, CLASS: subjects.classes, COMPONENT: subjects.components}[self.metric.population]
+        return subjects, measured, guard([Population("measurements", str(self.metric.metrics.scope), rows)], options)
 
 
 @dataclass(frozen=True)
